@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import neardup
-from lectern.session import table
+from lectern.llm import kinds, language, mixing, mojibake, neardup, pieces, tokens
+from lectern.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,67 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(*neardup.similar_classes(table(spark, sf_dir, "documents"), k=3, threshold=0.5, min_words=20))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.affected(table(spark, sf_dir, "documents"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(table(spark, sf_dir, "documents"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = materialize(kinds.described(table(spark, sf_dir, "documents")).select("id", "n_chars", "votes"), "votes")
+    return kinds.found(kinds.posteriors(votes))
+
+
+def p4_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures = materialize(kinds.described(table(spark, sf_dir, "documents")), "figures")
+    return kinds.posteriors(figures).drop("votes").withColumnRenamed("id", "doc_id")
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return materialize(language.segmented(documents, language.trained(documents)), "segments")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.found(_segments(spark, sf_dir))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's place, language and confidence."""
+    s = _segments(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("segments").alias("segment", "s"))
+    return s.select("doc_id", "segment", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.col("s.confidence").alias("confidence"))
+
+
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(_segments(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(mixing.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(mixing.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, limit, overlap = pieces.limits_of(table(spark, sf_dir, "split_limits"))
+    _, tables = pieces.ranges_of(table(spark, sf_dir, "documents"), limit, overlap, name=name)
+    return pieces.spans(tables, limit).where("piece = 0").select(F.col("key").alias("doc_id"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, limit, overlap = pieces.limits_of(table(spark, sf_dir, "split_limits"))
+    ranges, tables = pieces.ranges_of(table(spark, sf_dir, "documents"), limit, overlap, name=name)
+    return pieces.emitted(ranges, pieces.spans(tables, limit)).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
