@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kinds
+from lectern.llm.words import WORD
 
 LANGS = ("es", "fr", "pt", "en")
 SAMPLE, DIM, LEAST_WORDS, MARGIN = 250, 1 << 15, 4, 0.25
@@ -213,7 +214,7 @@ def segmented(df: DataFrame, machines: np.ndarray | None, id_col: str = "doc_id"
                     continue
                 f = kinds.figures(text)
                 found = _loaded(packed.value).segments(text)
-                rows.append((kinds.votes(f), f[0], [{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sentences": s} for a, b, k, m, n, s in found]))
+                rows.append((kinds.votes(f), len(WORD.findall(text)), [{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sentences": s} for a, b, k, m, n, s in found]))
             yield pd.DataFrame({"id": p["id"], "label": p["label"], "votes": [r[0] for r in rows], "n_words": [r[1] for r in rows], "segments": [r[2] for r in rows]})
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), normalized(F.col(lang_col)).alias("label"), F.col(text_col).alias("text"))

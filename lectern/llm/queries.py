@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import kinds, language, mixing, mojibake, neardup, pieces, tokens
+from lectern.llm import distinctive, kinds, language, mixing, mojibake, neardup, pieces, subjects, tokens
 from lectern.session import materialize, table
 
 
@@ -35,6 +35,15 @@ def p4_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.posteriors(figures).drop("votes").withColumnRenamed("id", "doc_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = materialize(distinctive.query_terms(table(spark, sf_dir, "benchmark")), "items")
+    return distinctive.rare(table(spark, sf_dir, "passages"), items).join(items, "term").select("item_id", "pid").distinct()
+
+
+def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.weights(table(spark, sf_dir, "passages"))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return materialize(language.segmented(documents, language.trained(documents)), "segments")
@@ -54,6 +63,16 @@ def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(_segments(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = subjects.profiles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"))
+    return subjects.found(docs, subjects.propagated(docs)).select("doc_id", "domain")
+
+
+def p7_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = subjects.profiles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"))
+    return subjects.composition(subjects.found(docs, subjects.propagated(docs)))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"))
 
