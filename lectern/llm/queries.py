@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import distinctive, kinds, language, mixing, mojibake, neardup, pieces, subjects, tokens
+from lectern.llm import distinctive, kinds, language, mixing, mojibake, neardup, pieces, scans, subjects, tokens
 from lectern.session import materialize, table
 
 
@@ -17,6 +17,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(*neardup.similar_classes(table(spark, sf_dir, "documents"), k=3, threshold=0.5, min_words=20))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(scans.examined(table(spark, sf_dir, "scan_pages")))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(scans.examined(table(spark, sf_dir, "scan_pages")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.affected(table(spark, sf_dir, "documents"))
 
