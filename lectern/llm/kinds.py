@@ -39,7 +39,8 @@ MENU = frozenset(
     "news newsletter novedades novidades nouvelles panier partager portada capa previous précédent suivant siguiente seguinte print privacidad privacidade privacy profile perfil publicidad rechercher recherche register registrarse registro registo rss s'abonner abonner salir sair search share sitemap "
     "subscribe suscribirse subscrever assinar suscripción terms términos termos top twitter volver voltar accueil connexion déconnexion inscription".split()
 )
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Letters of alphabets; of lower-case texts.
+_WORD = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0300-\u1fff\u2c00-\u2dff\u3040-\ud7ff]+")
 _MARK = re.compile(r"(?:[-*•–—▪◦‣·+>]|\[[ xX]?\]|[☐☑✓✗]|\(?\d{1,3}[.)º°]|\(?[a-zA-Z][.)]|\d{1,3}(?:\.\d{1,3})+\.?|\(?[ivxIVX]{1,5}[.)])\s+")
 _ENTRY = re.compile(r"(?:,\s+\d+(?:[–-]\d+)?)+$|(?:\.\s?){4,}\s*\d+$|…+\s*\d+$|\s[·_]{4,}\s*\d+$")
 _GLOSS = re.compile(r"^[^:.;]{1,30}: [^:.;]{1,40}$")
@@ -117,7 +118,7 @@ def figures(text: str | None) -> tuple:
     n = letters = common = 0
     share, before = [0] * 6, ""
     for s, words in zip(lines, each):
-        of_line, known = sum(map(len, words)), sum(map(COMMON.__contains__, words))
+        of_line, known = len("".join(words)), sum(map(COMMON.__contains__, words))
         n, letters, common = n + len(words), letters + of_line, common + known
         k = line_kind(s, words, of_line, known)
         share[k] += len(s)

@@ -34,8 +34,11 @@ LANGS = ("es", "fr", "pt", "en")
 SAMPLE, DIM, LEAST_WORDS, MARGIN = 250, 1 << 15, 4, 0.25
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Ends of sentences; of paragraphs; of lines that end like a sentence or before an item (others are wrapped lines).
-_CUT = re.compile(r"(?<=[.!?…])[»”\"')\]]*\s+|\s*\n\s*\n\s*|(?<=[:;»”])[^\S\n]*\n\s*|\n(?=\s*(?:[-*•–—#|<>\[(+]|\d|\w[.)]\s))|\t+|\s[—–]\s+(?=[A-ZÁÉÍÓÚÀÉÊ¿¡])")
-_WORD = re.compile(r"[^\W\d_]+")
+_CUT = re.compile(
+    r"[.!?…:;»”\n\t—–](?:(?<=[.!?…])[»”\"')\]]*\s+|(?<=[:;»”])[^\S\n]*\n\s*|(?<=\n)(?:\s*\n\s*|(?=\s*(?:[-*•–—#|<>\[(+]|\d|\w[.)]\s)))|(?<=\t)\t*|(?<=[—–])\s+(?=[A-ZÁÉÍÓÚÀÉÊ¿¡]))"
+)
+#: Letters of alphabets, with the marks of decomposed accents.
+_WORD = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0300-\u1fff\u2c00-\u2dff\u3040-\ud7ff]+")
 #: Names of the languages as labels write them.
 NAMES = {
     "es": "es spa esp español espanol castellano spanish cas",
@@ -112,69 +115,99 @@ def fit(rows: list[tuple[str, str]]) -> np.ndarray | None:
         machines = [_train([(x, 1 if c == 3 else -1) for x, c in sents])]
         machines += [_train([(x, 1 if c == i else -1) for x, c in sents if c in (i, j)]) for i, j in _PAIRS]
         m = np.stack(machines)
-        kept = [(x, c) for x, c in sents if _decide((m[:, x].sum(1) / len(x)))[0] == c]
+        told = _decide_all(np.stack([m[:, x].sum(1) / len(x) for x, _ in sents]))[0]
+        kept = [e for e, k in zip(sents, told) if e[1] == k]
         if len({c for _, c in kept}) < len({c for _, c in sents}):
             break
         sents = kept
     return m
 
 
-def _decide(s: np.ndarray) -> tuple[int, float]:
-    """(language, margin) from the four scores."""
-    if s[0] > 0:
-        return 3, float(s[0])
-    votes, margin = np.zeros(3), np.zeros(3)
-    for k, (i, j) in enumerate(_PAIRS):
-        won = i if s[k + 1] > 0 else j
-        votes[won] += 1
-        for l in (i, j):
-            margin[l] += abs(s[k + 1]) * (1 if l == won else -1) / 2
-    best = int(np.argmax(votes + 1e-3 * margin))
-    return best, min(float(-s[0]), float(margin[best]))
+def _decide_all(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, margin) of each row of four scores."""
+    votes, margin = np.zeros((len(s), 3)), np.zeros((len(s), 3))
+    for k, (i, j) in enumerate(_PAIRS, 1):
+        won = s[:, k] > 0
+        votes[:, i] += won
+        votes[:, j] += ~won
+        margin[:, i] += s[:, k] / 2
+        margin[:, j] -= s[:, k] / 2
+    best = np.argmax(votes + 1e-3 * margin, 1)
+    inner = np.minimum(-s[:, 0], margin[np.arange(len(s)), best])
+    germanic = s[:, 0] > 0
+    return np.where(germanic, 3, best), np.where(germanic, s[:, 0], inner)
 
 
 class Model:
+    """The machines, and the scores of each word seen so far as a row of ``table`` (the last column counts features)."""
+
     def __init__(self, machines: np.ndarray):
-        self.machines, self.memo = machines, {}
-
-    def word(self, w: str) -> tuple:
-        f = features(w)
-        self.memo[w] = x = (*self.machines[:, f].sum(1).tolist(), len(f))
-        return x
-
-    def segments(self, text: str) -> list[tuple[int, int, int, float, int, int]]:
-        """(start, end, language, margin, words, clear whole sentences) of each segment."""
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        get, out = self.memo.get, []
-        spans = sentences(text)
-        told = []
-        for a, b in spans:
-            words = [] if text.startswith("<!--", a) else _WORD.findall(text[a:b].lower())
-            if not words:
-                told.append((a, b, None, 0.0, 0))
-                continue
-            t = [get(w) or self.word(w) for w in words]
-            total = np.array([sum(c) for c in zip(*t)])
-            k, margin = _decide(total[:4] / total[4])
-            told.append((a, b, k if len(words) >= LEAST_WORDS and margin >= MARGIN else None, margin, len(words)))
-        last = next((x[2] for x in told if x[2] is not None), None)
-        if last is None:  # nothing is clear: the text as a whole decides
-            words = _WORD.findall(text.lower())
-            if not words:
-                return []
-            total = np.array([sum(c) for c in zip(*(get(w) or self.word(w) for w in words))])
-            k, margin = _decide(total[:4] / total[4])
-            return [(0, len(text), k, margin, len(words), 0)]
-        for a, b, k, margin, n in told:
-            clear = k is not None
-            last = k if clear else last
+        self.machines, self.index, self.table = machines, {}, np.zeros((1024, len(machines) + 1))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self.index) > 300_000:
+            self.index.clear()
+        get = self.index.get
+        out = list(map(get, words))
+        if None in out:
+            for w in set(words).difference(self.index):
+                n = self.index[w] = len(self.index)
+                if n == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                f = features(w)
+                self.table[n, :-1], self.table[n, -1] = self.machines[:, f].sum(1), len(f)
+            out = list(map(get, words))
+        return np.array(out, np.int64)
+
+    def segments(self, texts: list[str]) -> list[list[tuple[int, int, int, float, int, int]]]:
+        """Of each text (start, end, language, margin, words, clear whole sentences) of each segment."""
+        spans, words, sizes, counts = [], [], [], []
+        for text in texts:
+            lower = text.lower()
+            if len(lower) != len(text):  # a few letters change their length; offsets must hold
+                lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            found = sentences(text)
+            for a, b in found:
+                w = [] if text.startswith("<!--", a) else _WORD.findall(lower, a, b)
+                words += w
+                sizes.append(len(w))
+            spans += found
+            counts.append(len(found))
+        n = np.array(sizes, np.int64)
+        score = np.zeros((len(n), self.table.shape[1]))
+        if words:
+            rows = self.rows(words)
+            table = self.table[rows]
+            full = np.flatnonzero(n)
+            score[full] = np.add.reduceat(table, np.concatenate([[0], np.cumsum(n[full])[:-1]]))
+        lang, margin = _decide_all(score[:, :-1] / np.maximum(score[:, -1:], 1))
+        clear = (n >= LEAST_WORDS) & (margin >= MARGIN)
+        out, at = [], 0
+        for k in counts:
+            out.append(self._joined(spans[at : at + k], lang[at : at + k], margin[at : at + k], n[at : at + k], clear[at : at + k], score[at : at + k]))
+            at += k
+        return out
+
+    @staticmethod
+    def _joined(spans, lang, margin, n, clear, score):
+        if not len(n) or not n.any():
+            return []
+        if not clear.any():  # the text as a whole decides
+            total = score.sum(0)
+            k, m = _decide_all((total[:-1] / total[-1])[None, :])
+            return [(0, spans[-1][1], int(k[0]), float(m[0]), int(n.sum()), 0)]
+        first = int(np.argmax(clear))
+        if (lang[clear] == lang[first]).all():  # most texts
+            m = float((margin * n)[clear].sum() / n[clear].sum())
+            return [(0, spans[-1][1], int(lang[first]), m, int(n.sum()), int(clear.sum()))]
+        out, last = [], int(lang[first])
+        for (a, b), k, m, w, c in zip(spans, lang.tolist(), margin.tolist(), n.tolist(), clear.tolist()):
+            last = k if c else last
             if out and out[-1][2] == last:
                 p = out[-1]
-                m = (p[3] * p[4] + margin * n) / max(1, p[4] + n) if clear else p[3]
-                out[-1] = (p[0], b, last, m, p[4] + n, p[5] + clear)
+                out[-1] = (p[0], b, last, (p[3] * p[4] + m * w) / max(1, p[4] + w) if c else p[3], p[4] + w, p[5] + c)
             else:
-                out.append((a, b, last, margin, n, int(clear)))
+                out.append((a, b, last, m, w, int(c)))
         return out
 
 
@@ -207,15 +240,16 @@ def segmented(df: DataFrame, machines: np.ndarray | None, id_col: str = "doc_id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = []
-            for text in p["text"]:
-                if not text or not text.strip() or not packed.value:
-                    rows.append(("", 0, []))
-                    continue
-                f = kinds.figures(text)
-                found = _loaded(packed.value).segments(text)
-                rows.append((kinds.votes(f), len(WORD.findall(text)), [{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sentences": s} for a, b, k, m, n, s in found]))
-            yield pd.DataFrame({"id": p["id"], "label": p["label"], "votes": [r[0] for r in rows], "n_words": [r[1] for r in rows], "segments": [r[2] for r in rows]})
+            for at in range(0, len(p), 1000):
+                yield some(p.iloc[at : at + 1000])
+
+    def some(p: pd.DataFrame) -> pd.DataFrame:
+        texts = [t if t and packed.value else "" for t in p["text"]]
+        shapes = [kinds.figures(t) for t in texts]
+        found = _loaded(packed.value).segments(texts) if packed.value else [[]] * len(texts)
+        segments = [[{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sentences": c} for a, b, k, m, n, c in x] for x in found]
+        words = [f[0] if f[0] > 100 else len(WORD.findall(t)) for f, t in zip(shapes, texts)]
+        return pd.DataFrame({"id": p["id"], "label": p["label"], "votes": [kinds.votes(f) for f in shapes], "n_words": words, "segments": segments})
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), normalized(F.col(lang_col)).alias("label"), F.col(text_col).alias("text"))
     return texts.mapInPandas(run, _SEGMENTS)

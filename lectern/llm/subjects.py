@@ -21,6 +21,7 @@ seed nothing is labelled.  Ids are expected to be unique.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,10 +52,8 @@ def _profile(codes: frozenset, keywords: dict[str, frozenset]):
         for p in batches:
             rows = []
             for raw, text in zip(p["label"], p["text"]):
-                counts: dict[str, int] = {}
                 words = folded_words(text)
-                for w in words:
-                    counts[w] = counts.get(w, 0) + 1
+                counts = Counter(words)
                 label, seen = code(raw), {}
                 for w in counts.keys() & keywords.keys():
                     for c in keywords[w]:
