@@ -20,6 +20,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row: an expression that a lambda names is evaluated for each element otherwise."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nfc(c: Column | str) -> Column:
     """NUL dropped, canonical composition.  Spark has no such function."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import lexicons as lex
-from lectern.functions.text import WORD_CHAR, WS, col, nfc, squeezed, strip, words
+from lectern.functions.text import WORD_CHAR, WS, col, let, nfc, squeezed, strip, words
 
 PAGE_NUMBER = rf"(?imd)^{WS}*(?:p[aá]g(?:ina)?\.?{WS}*\d+|page{WS}*\d+|\d+{WS}*/{WS}*\d+|\[{WS}*\d+{WS}*\]|[-–—]{WS}*\d+{WS}*[-–—]|\d+){WS}*$"
 LIST_ITEM = rf"^(?:[-*•·]|\d+[.)]){WS}"
@@ -63,9 +63,9 @@ def duplicate_paragraphs(c: Column | str, min_words: int = 6) -> Column:
     paragraphs = F.split(col(c), "\n{2,}")
     keyed = F.transform(paragraphs, lambda p, i: F.struct(squeezed(F.lower(p)).alias("k"), i.alias("i"), p.alias("p")))
     # Sorted by key, the first of each run of equal keys is the first in the text.
-    order = F.array_sort(F.transform(keyed, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i"), x["p"].alias("p"))))
-    fresh = F.filter(F.transform(order, lambda x, i: F.struct(x["i"].alias("i"), x["p"].alias("p"), ((F.size(F.split(x["k"], " ")) < min_words) | (i == 0) | (F.get(order, i - 1)["k"] != x["k"])).alias("keep"))), lambda x: x["keep"])
-    return F.array_join(F.transform(F.array_sort(F.transform(fresh, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"]), "\n\n")
+    fresh = lambda order: F.filter(order, lambda x, i: (F.size(F.split(x["k"], " ")) < min_words) | (i == 0) | (F.get(order, i - 1)["k"] != x["k"]))
+    back = F.array_sort(F.transform(let(F.array_sort(keyed), fresh), lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p"))))
+    return F.array_join(F.transform(back, lambda x: x["p"]), "\n\n")
 
 
 def punctuation(c: Column | str) -> Column:
@@ -76,11 +76,14 @@ def punctuation(c: Column | str) -> Column:
 
 
 def _islands(flags: Column, least: int) -> Column:
-    """Of an array of booleans, which true ones stand in a run of at least ``least``: a fold that counts runs from either side."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(x, F.coalesce(F.element_at(acc, -1), F.lit(0)) + 1).otherwise(0)))
-    zero = F.array().cast("array<int>")
-    left, right = F.aggregate(flags, zero, step), F.reverse(F.aggregate(F.reverse(flags), zero, step))
-    return F.zip_with(left, right, lambda a, b: (a > 0) & (a + b - 1 >= least))
+    """Of an array of booleans, which true ones stand in a run of at least ``least``: some window of that size around them is all true."""
+    at = lambda f, i: F.coalesce(F.get(f, i), F.lit(False))
+
+    def inside(f: Column) -> Column:
+        windows = lambda i: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [at(f, i - k + j) for j in range(least)]) for k in range(least)])
+        return F.transform(f, lambda x, i: x & windows(i))
+
+    return let(flags, inside)
 
 
 def _cells(line: Column) -> Column:
@@ -118,24 +121,22 @@ def double_columns(c: Column | str, min_block: int = 4) -> Column:
 
 def _repeated(keys: Column, least: int) -> Column:
     """Distinct values that stand at least ``least`` times in an array."""
-    order = F.array_sort(keys)
-    return F.array_distinct(F.filter(order, lambda x, i: F.get(order, i + least - 1) == x))
+    return let(F.array_sort(keys), lambda order: F.array_distinct(F.filter(order, lambda x, i: F.get(order, i + least - 1) == x)))
 
 
 def repeated_headers(c: Column | str, min_count: int = 3, max_words: int = 10) -> Column:
     lines = _lines(col(c))
     key = lambda s: F.lower(strip(s))
     short = F.filter(lines, lambda s: (strip(s) != "") & ~strip(s).startswith("#") & (F.size(words(s)) <= max_words))
-    gone = _repeated(F.transform(short, key), min_count)
-    return F.when(F.size(gone) == 0, col(c)).otherwise(_unlines(F.filter(lines, lambda s: ~F.array_contains(gone, key(s)) | strip(s).startswith("#"))))
+    kept = lambda gone: F.when(F.size(gone) == 0, col(c)).otherwise(_unlines(F.filter(lines, lambda s: ~F.array_contains(gone, key(s)) | strip(s).startswith("#"))))
+    return let(_repeated(F.transform(short, key), min_count), kept)
 
 
 def watermarks(c: Column | str) -> Column:
     lines = _lines(col(c))
     marks = F.array(*map(F.lit, lex.WATERMARKS))
     capital = F.filter(F.transform(lines, strip), lambda s: (F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) >= 3) & (F.size(words(s)) == 1))
-    gone = _repeated(capital, 3)
-    return _unlines(F.filter(lines, lambda s: ~F.array_contains(marks, F.lower(strip(s))) & ~F.array_contains(gone, strip(s))))
+    return let(_repeated(capital, 3), lambda gone: _unlines(F.filter(lines, lambda s: ~F.array_contains(marks, F.lower(strip(s))) & ~F.array_contains(gone, strip(s)))))
 
 
 def _final(c: Column) -> Column:

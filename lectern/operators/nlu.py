@@ -73,7 +73,7 @@ def resolved_languages(turns: DataFrame, session: str = "conv_id", order: str =
         en = F.size(F.filter(last, lambda x: x["resolved"] == "en"))
         es = F.size(last) - en
         decisive = (t["score_es"] + t["score_en"] >= 2) & (F.abs(t["score_es"] - t["score_en"]) >= 2)
-        pick = F.when(decisive | (F.size(acc) == 0), t["lang"]).when(en > es, "en").when(es > en, "es").otherwise(F.element_at(acc, -1)["resolved"])
+        pick = F.when(decisive | (F.size(acc) == 0), t["lang"]).when(en > es, "en").when(es > en, "es").otherwise(F.try_element_at(acc, F.lit(-1))["resolved"])
         return F.concat(acc, F.array(F.struct(t[order].alias(order), pick.alias("resolved"))))
 
     zero = F.transform(F.filter("turns", lambda x: F.lit(False)), lambda x: F.struct(x[order].alias(order), x["lang"].alias("resolved")))
@@ -153,7 +153,7 @@ def in_context(turns: DataFrame, session: str = "conv_id", order: str = "turn",
     lookup = F.create_map(*[x for k, v in verbs.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     none = F.array().cast("array<string>")
     topic = F.slice(_content(tokens(F.coalesce("before", F.lit("")))), 1, 6)
-    actions = F.slice(F.flatten(F.transform(_content(tokens(F.coalesce("text", F.lit("")))), lambda c: F.coalesce(F.element_at(lookup, c), none))), 1, 4)
+    actions = F.slice(F.flatten(F.transform(_content(tokens(F.coalesce("text", F.lit("")))), lambda c: F.coalesce(F.try_element_at(lookup, c), none))), 1, 4)
     query = F.when(F.col("is_followup") & ~F.col("first"), F.concat_ws(" ", F.array_join(F.concat(topic, actions), " "), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
     return marked.select(session, order, "is_followup", F.trim(query).alias("query"))
 

@@ -408,12 +408,12 @@ len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contain
 
 
 @query(_QUAL + """ SELECT doc_id, round(CASE WHEN len(ws) < 5 THEN 0 WHEN len(list_filter(ws, lambda w: regexp_full_match(w, '[\\d,.\\-]+'))) / n > 0.20 THEN 0 WHEN commas / n > 0.30 THEN 0.03 ELSE greatest(0, least(1, lng / n - sht / n * 0.4 - least(figs / n * 4, 0.35))) END, 6) AS quality FROM u""")
-def p01_prose_quality(spark, d):
+def pq01_prose_quality(spark, d):
     return documents(spark, d).select("doc_id", quality.prose_quality("text").alias("quality"))
 
 
 @query(_QUAL + """ SELECT doc_id, round(CASE WHEN len(ws) < 5 THEN 0 WHEN len(list_filter(ws, lambda w: regexp_full_match(w, '[\\d,.\\-/]+'))) / n > 0.20 OR letters / greatest(length(text), 1) < 0.35 THEN 0.02 WHEN commas / n > 0.30 THEN 0.03 ELSE greatest(0, least(1, lng / n - sht / n * 0.4 - figs / n * 3)) END, 6) AS quality FROM u""")
-def p02_tool_quality(spark, d):
+def pq02_tool_quality(spark, d):
     return documents(spark, d).select("doc_id", quality.prose_quality("text", tool=True).alias("quality"))
 
 
@@ -425,7 +425,7 @@ _SENT = f"WITH x AS (SELECT doc_id, string_split(regexp_replace(text, {s.q('([.!
 
 
 @query(_SENT + f" SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda w: {_BARE} >= 5)) / len(ws) END, 6) AS quality FROM z")
-def p03_sentence_quality(spark, d):
+def pq03_sentence_quality(spark, d):
     return _sents(spark, d).select("doc_id", "pos", F.round(quality.sentence_quality("sentence"), 6).alias("quality"))
 
 
@@ -437,22 +437,22 @@ OR (CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda w: {_BARE} >= 5
 
 
 @query(_bad(5, lex.INSTRUMENTS, 0.30))
-def p04_bad_sentences(spark, d):
+def pq04_bad_sentences(spark, d):
     return _sents(spark, d).select("doc_id", "pos", quality.bad_sentence("sentence").alias("bad"))
 
 
 @query(_bad(4, lex.INSTRUMENTS_TOOL, 0.28, f"regexp_matches(sentence, {s.q(rf'(?i)^(?:DR\.|DRA\.|DR{tx.WS}|DRA{tx.WS}|PROF\.|LIC\.|ING\.){tx.WS}+[A-Z]')})"))
-def p05_bad_sentences_tool(spark, d):
+def pq05_bad_sentences_tool(spark, d):
     return _sents(spark, d).select("doc_id", "pos", quality.bad_sentence("sentence", tool=True).alias("bad"))
 
 
 @query("SELECT source, CAST(sum(coalesce(len(regexp_extract_all(text, '[\\pL\\pN_]+')), 0)) AS BIGINT) AS n_words, CASE WHEN sum(coalesce(len(regexp_extract_all(text, '[\\pL\\pN_]+')), 0)) = 0 THEN 'empty' WHEN sum(len(regexp_extract_all(text, '[\\pL\\pN_]+'))) < 80 THEN 'thin' ELSE 'ok' END AS state FROM passages GROUP BY source")
-def p06_thin_files(spark, d):
+def pq06_thin_files(spark, d):
     return quality.thin_files(table(spark, d, "passages"))
 
 
 @query(f"WITH l AS ({_lines()}) SELECT doc_id, count(*) AS n_rows FROM l WHERE len({_CELLS}) >= 3 AND NOT starts_with(trim(line), '#') GROUP BY doc_id")
-def p07_table_rows(spark, d):
+def pq07_table_rows(spark, d):
     return documents(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(quality.is_table_row("line")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
 
 

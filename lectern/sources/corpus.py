@@ -43,7 +43,7 @@ def passages(texts: DataFrame, path_col: str = "path", text_col: str = "text") -
     b = b.where("body != ''").withColumn("page", F.regexp_extract("comment", r"pag:\s*(\d+)", 1).try_cast("int"))
     lines = F.filter(F.split("body", "\n"), lambda s: F.trim(s) != "")
     heading = F.forall(lines, lambda s: F.ltrim(s).startswith("#"))
-    b = b.withColumn("title", F.when(heading, F.trim(F.regexp_replace(F.element_at(lines, 1), r"^\s*#+\s*", ""))))
+    b = b.withColumn("title", F.when(heading, F.trim(F.regexp_replace(F.try_element_at(lines, F.lit(1)), r"^\s*#+\s*", ""))))
     w = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     carried = b.withColumn("running", F.last("title", ignorenulls=True).over(w)).where("title is null")
     return carried.select("source", "pos", domain_of("source").alias("domain"), F.coalesce("running", F.lit("")).alias("title"), "page", strip(F.regexp_replace("body", r"(?m)^#+\s*", "")).alias("text"))
