@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _late(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    return df.withWatermark(ts, delay) if df.isStreaming else df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if df.isStreaming else df
 
 
 def tumbling(df: DataFrame, ts: str = "ts", width: str = "1 hour", key: str = "event_type", value: str = "value", delay: str = "1 hour") -> DataFrame:
@@ -29,4 +29,4 @@ def sessions(df: DataFrame, ts: str = "ts", key: str = "user_id", gap: str = "30
 
 def deduplicated(df: DataFrame, key: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Rows of a key once; on a stream within the delay of late rows."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key) if df.isStreaming else df.dropDuplicates(key)
+    return _late(df, ts, delay).dropDuplicatesWithinWatermark(key) if df.isStreaming else df.dropDuplicates(key)
