@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import lexicons as lex
-from lectern.functions.text import WS, col, word_count, words
+from lectern.functions.text import WS, col, let, word_count, words
 
 _bare = lambda w: F.length(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
 FIGURE = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{lex.FIGURE_LABELS})(?![\p{{L}}\p{{N}}_])"
@@ -15,20 +15,24 @@ FIGURE = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{lex.FIGURE_LABELS})(?![\p{{L}}\p{{N}}_
 def prose_quality(text: Column | str, tool: bool = False) -> Column:
     """0 to 1: long words against short ones, numbers, commas and figure labels.  ``tool`` takes the stricter constants of the cleaning tool."""
     t = F.coalesce(col(text), F.lit(""))
-    ws = words(t)
-    n = F.greatest(F.size(ws), F.lit(1))
-    share = lambda p: F.size(F.filter(ws, p)) / n
-    numeric = share(lambda w: w.rlike(r"^[\d,.\-/]+$" if tool else r"^[\d,.\-]+$"))
-    commas = (F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))) / n
-    figures = F.regexp_count(t, F.lit(FIGURE)) / n
-    base = share(lambda w: _bare(w) >= 5) - share(lambda w: _bare(w) <= 2) * 0.4
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
-    if tool:
-        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1))
-        score = F.when((numeric > 0.20) | (letters < 0.35), 0.02).when(commas > 0.30, 0.03).otherwise(clamp(base - figures * 3))
-    else:
-        score = F.when(numeric > 0.20, 0.0).when(commas > 0.30, 0.03).otherwise(clamp(base - F.least(figures * 4, F.lit(0.35))))
-    return F.round(F.when(F.size(ws) < 5, 0.0).otherwise(score), 6)
+    numbers = r"^[\d,.\-/]+$" if tool else r"^[\d,.\-]+$"
+
+    def score(ws: Column) -> Column:
+        n = F.greatest(F.size(ws), F.lit(1))
+        share = lambda p: F.size(F.filter(ws, p)) / n
+        numeric = share(lambda w: w.rlike(numbers))
+        commas = (F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))) / n
+        figures = F.regexp_count(t, F.lit(FIGURE)) / n
+        base = let(F.transform(ws, _bare), lambda sizes: F.size(F.filter(sizes, lambda k: k >= 5)) / n - F.size(F.filter(sizes, lambda k: k <= 2)) / n * 0.4)
+        clamp = lambda x: F.greatest(F.lit(0.0), F.least(x, F.lit(1.0)))
+        if tool:
+            letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1))
+            told = F.when((numeric > 0.20) | (letters < 0.35), 0.02).when(commas > 0.30, 0.03).otherwise(clamp(base - figures * 3))
+        else:
+            told = F.when(numeric > 0.20, 0.0).when(commas > 0.30, 0.03).otherwise(clamp(base - F.least(figures * 4, F.lit(0.35))))
+        return F.round(F.when(F.size(ws) < 5, 0.0).otherwise(told), 6)
+
+    return let(words(t), score)
 
 
 def sentence_quality(sentence: Column | str) -> Column:

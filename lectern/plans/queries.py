@@ -11,7 +11,7 @@ from lectern import lexicons as lex
 from lectern.functions import text as tx
 from lectern.operators import changes, chunking, cleaning, codes, index, logs, nlu, quality, retrieval
 from lectern.plans import sql as s
-from lectern.session import materialize, table
+from lectern.session import materialize, spread, table
 from lectern.sources import corpus, formats, sinks
 from lectern.streaming import windows
 
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents")).where("text is not null")
 
 
 def _text(name: str, step: Callable, sql: str | None) -> None:
@@ -251,7 +251,7 @@ idf AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, sz)
 
 
 def built(spark: SparkSession, d: str, tier: str | None = None) -> index.Index:
-    return index.build(table(spark, d, "passages"), tier)
+    return index.build(spread(table(spark, d, "passages")), tier)
 
 
 @query("SELECT pid, source FROM passages ORDER BY source NULLS LAST, pid LIMIT 600")
@@ -462,7 +462,7 @@ _KW = f"""k AS (SELECT DISTINCT doc_id, lower(text) AS low, array_to_string({s.t
 
 
 def _scores(spark, d):
-    return nlu.keyword_scores(table(spark, d, "documents"), table(spark, d, "subject_areas"))
+    return nlu.keyword_scores(spread(table(spark, d, "documents")), table(spark, d, "subject_areas"))
 
 
 @query(f"WITH {_KW} SELECT * FROM sc")
