@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import distinctive, kinds, language, mixing, mojibake, neardup, pieces, scans, subjects, tokens
-from lectern.session import materialize, table
+from lectern.session import materialize, spread
+from lectern.session import table as stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(stored(spark, sf_dir, name))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +114,13 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_TERMS = "list_transform(regexp_extract_all(strip_accents(lower({})), '[\\pL\\pN]+'), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what needs no model, tokenizer or similarity search."""
+    text = "coalesce(title, '') || ' ' || coalesce(text, '')"
+    return {
+        "p5_found": f"""WITH s AS (SELECT DISTINCT pid, unnest({_TERMS.format(text)}) AS term FROM passages), f AS (SELECT term FROM s GROUP BY term HAVING count(*) <= 6),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL) SELECT DISTINCT item_id, pid FROM i JOIN f USING (term) JOIN s USING (term)""",
+    }
