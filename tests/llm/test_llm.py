@@ -84,6 +84,16 @@ def test_scan_readings():
     assert scans.key("repubhc") == scans.key("republic") == scans.key("repub1ic") and scans.key("modern") == scans.key("rnodern") and scans.key("liindía") == scans.key("lundía")
 
 
+def test_words_around_speak_against_a_neighbour(spark):
+    es, fr = "el gato ve el perro y el pan del campo con el agua ", "il tente expliquer cette chose avec patience pour nous tous "
+    rows = [(i, 1, es * 10) for i in range(12)] + [(100 + i, 1, fr * 10) for i in range(12)]
+    rows += [(200 + i, 1, "il tente d'expliquer cette chose avec patience") for i in range(4)] + [(300, 1, es + "y cl perro ve dcl campo el pan"), (301, 1, "il tente cxpliquer cette chose")]
+    pages = scans.examined(docs(spark, rows, "doc_id long, page int, text string"))
+    got = {(r["doc_id"], r["word"]) for r in scans.misread(pages, scans.divisions(pages)).collect()}
+    assert got == {(300, "cl"), (300, "dcl"), (301, "cxpliquer")}
+    assert "d'expliquer" in scans.paragraphs(pages).where("doc_id = 200").first()["text"]
+
+
 def test_no_pages(spark):
     assert scans.found(scans.examined(docs(spark, [], "doc_id long, page int, text string"))).count() == 0
 
