@@ -34,11 +34,8 @@ _SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp850", "cp437")
 _LETTERS = "áéíóúüñçàâêîôûèùëïãõœÿ"
 _LETTERS += _LETTERS.upper()
 _OPEN, _CLOSE, _PLAIN = "¿¡«“‘‹„•—–-(", "»”’›…—–ºª®™", "¿¡«»“”‘’‹›—–…•·°ºª©®™±€£§½¼¾µ×÷¹²³"
-#: What the wrong decoding leaves; texts without any of it can't be affected.
-SUSPECT = (
-    r"[^\x{00}-\x{7F}" + _LETTERS + "¿¡«»“”‘’—–…•°ºª\\x{300}-\\x{36F}\\x{A0}\\x{200B}\\x{FEFF}\\x{1F000}-\\x{1FFFF}\\x{E000}-\\x{F8FF}]|[a-záéíóúñç][À-ÖØ-Þ]|[a-zà-ÿ][¿¡«“‘…•°—–][a-zà-ÿ]"
-    r"|[a-zà-ÿ]\?[a-zà-ÿ]|&#\d{2,4};|[ \n]\?[a-zà-ÿ]{3}|[a-zà-ÿ]\x{A0}[a-zà-ÿ]"
-)
+#: ``examine`` looks at nothing else, so texts without any of it can't be affected.
+SUSPECT = r"[^\x{00}-\x{7F}]|&#|\?"
 _LOST = re.compile(r"[a-zà-ÿA-ZÀ-Ý]\?[a-zà-ÿ]|(?<![\w?])\?[a-zà-ÿ]{4}")
 _URL = re.compile(r"https?:|www\.|[/=&]")
 _RUN = re.compile(r"[^ \t\r\n]+")
@@ -65,8 +62,8 @@ def cost(text: str) -> float:
             known = c in _LETTERS
             if c.isupper() and before.islower():
                 total += 3
-            elif c.isupper() and after >= "\x80" and not after.isalpha():
-                total += 3
+            elif c.isupper() and after >= "\x80" and (not after.isalpha() or after in "ºª"):
+                total += 0 if known and c not in "ÂÃ" and before.isupper() and after in "»”’›…—–" and not text[i + 2 : i + 3].isalpha() else 3
             elif not known:
                 total += 1
         elif 0x300 <= o < 0x370 or o in (0x200B, 0xFEFF, 0x200D, 0xFE0F):

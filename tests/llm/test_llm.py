@@ -110,6 +110,14 @@ def test_encodings_are_undone(way):
     assert hit and sum(a == b for a, b in zip(repaired, text)) > 0.93 * len(text)
 
 
+def test_single_damaged_words(spark):
+    bad = ["La Ãºltima vez.", "MÃ¡s de uno.", "Un Ã¡rea.", "Il va Ã\xa0 Paris.", "A 25Â°C.", "El 1Âº de mayo.", "ESPAÃ‘A", "INTRODUCCIÃ“N"]
+    whole = ["La última vez.", "Más de uno.", "Un área.", "Il va à Paris.", "A 25°C.", "El 1º de mayo.", "ESPAÑA", "INTRODUCCIÓN"]
+    fine = [*whole, "«GRAVITÉ».", "“CAFÉ”", "a? b", "Temp. 3º–5ª"]
+    got = {r["doc_id"]: r["text_restored"] for r in mojibake.repaired(docs(spark, list(enumerate(bad + fine)))).collect()}
+    assert got == dict(enumerate(whole))
+
+
 def test_what_is_no_damage(spark):
     fine = [CLEAN, "La secuencia «Ã±» delata un archivo.", "Un rombo «�» marca un byte.", "Ærtholm og Blåvær, ÅÄÖ.", "Слово «мир» cierra.", "40 Å ± 3 µm; Temp. ¾ de 18 ºC", "Â = ½·(Ã + Ë)", "", None, "¿Por qué? https://x.es/?a=b", "x" * 100_000]
     bad = ["En la pr?ctica, la funci?n", "la funci�n", "cafÃ©", "M&#195;&#161;s de"]
