@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache, reduce
 
@@ -37,18 +38,20 @@ def nfc(c: Column | str) -> Column:
 
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Letters whose decomposition is a base letter and marks, and the base letters."""
-    pairs = []
-    for o in range(0xC0, 0x2000):
-        d = unicodedata.normalize("NFD", chr(o))
-        if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:]) and unicodedata.category(d[0]) != "Mn":
-            pairs.append((chr(o), d[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Characters whose decomposition is a base character and marks, then the marks; and the base characters."""
+    pairs, marks = [], []
+    for c in map(chr, range(0xC0, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+        elif (d := unicodedata.decomposition(c)) and d[0] != "<":
+            base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"))
+            if len(base) == 1 and base != c:
+                pairs.append((c, base))
+    return "".join([*(a for a, _ in pairs), *marks]), "".join(b for _, b in pairs)
 
 
 def strip_accents(c: Column | str) -> Column:
-    a, b = _accents()
-    return F.regexp_replace(F.translate(col(c), a, b), r"\p{Mn}+", "")
+    return F.translate(col(c), *_accents())
 
 
 def tokens(c: Column | str) -> Column:

@@ -152,6 +152,12 @@ def c20_strip_accents(spark, d):
     return documents(spark, d).where(F.col("text").rlike(r"^[\x{0}-\x{17F}\x{300}-\x{36F}\x{2000}-\x{206F}]*$(?!\n)")).select("doc_id", tx.strip_accents("text").alias("plain"))
 
 
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents WHERE text IS NOT NULL")
+def c21_strip_accents_all(spark, d):
+    """Every text; the SQL of ``c20_strip_accents`` leaves out those with other characters."""
+    return documents(spark, d).select("doc_id", tx.strip_accents("text").alias("plain"))
+
+
 # --- tokens ---------------------------------------------------------------------------------------
 
 

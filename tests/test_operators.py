@@ -24,6 +24,19 @@ def test_cleaning_steps_keep_null_and_empty(spark, name, step):
     assert [r["x"] for r in rows] == [None, ""]
 
 
+def test_accents_of_all_characters(spark):
+    assert one(spark, tx.strip_accents("text"), "Árbol ≠ ∉ ≱ € ™ Ω Ж Ӝ ё \U0002F800 👍 e\u0301 \u20DD한 ắ �") == "Arbol = ∈ ≥ € ™ Ω Ж Ж е \u4E3D 👍 e 한 a �"
+
+
+def test_accents_of_each_character_as_duckdb(spark):
+    import duckdb
+
+    points = "SELECT i FROM range(192, 1114112) t(i) WHERE NOT i BETWEEN 55296 AND 57343"
+    want = dict(duckdb.sql(f"SELECT i, strip_accents(chr(i::INT)) AS x FROM ({points}) WHERE x <> chr(i::INT)").fetchall())
+    rows = spark.createDataFrame([(i, chr(i)) for i in want], "i int, text string").select("i", tx.strip_accents("text").alias("x")).collect()
+    assert len(want) > 4000 and {r["i"]: r["x"] for r in rows} == want
+
+
 def test_cleaning_examples(spark):
     assert one(spark, cleaning.pdf_artifacts("text"), "trans-\nporte ﬁno\n  Página 3\n[ 4 ]\nfin") == "transporte fino\n\n\nfin"
     assert one(spark, cleaning.entities("text"), "&amp;lt; &nope; &#243;x") == "<  x"
