@@ -94,6 +94,14 @@ def test_words_around_speak_against_a_neighbour(spark):
     assert "d'expliquer" in scans.paragraphs(pages).where("doc_id = 200").first()["text"]
 
 
+def test_words_of_few_sightings_in_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(scans, "FREQUENT", 0.01)  # of some 1,400 words: as with 10 sightings in 7 million at the usual value
+    rows = [(i, 1, "el gato ve el perro y el pan del campo " * 10) for i in range(14)] + [(100 + i, 1, "el visir Núrtola duerme") for i in range(10)] + [(120 + i, 1, "el visir duerme") for i in range(8)]
+    pages = scans.examined(docs(spark, [*rows, (200, 1, "el visir Núrfola duerme")], "doc_id long, page int, text string"))
+    got = {(r["doc_id"], r["word"], r["meant"]) for r in scans.misread(pages, scans.divisions(pages)).collect()}
+    assert got == {(200, "núrfola", "núrtola")}
+
+
 def test_no_pages(spark):
     assert scans.found(scans.examined(docs(spark, [], "doc_id long, page int, text string"))).count() == 0
 
