@@ -6,7 +6,8 @@ by unescaping entities; visited states are hashed; the frontier is ordered by a
 character-plausibility cost, and the cheapest text reached is the repair.  Runs are the
 pieces between ASCII blanks (a damaged text keeps those), so that damage in a part
 of a document is found and repaired in place; each distinct run is searched once per
-worker process.
+worker process.  A run of more than ``LONG`` characters is cut after ASCII signs, at NBSP before
+ASCII and at ``LONG`` where it has neither, but never between two characters that aren't ASCII.
 
 A document counts as affected if its runs get at least ``LEAST`` cheaper, or if
 characters are gone for good: U+FFFD, or a question mark within words.  Runs that
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 LEAST = 1.5
 STATES = 80
+LONG = 400
 _SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp850", "cp437")
 _LETTERS = "áéíóúüñçàâêîôûèùëïãõœÿ"
 _LETTERS += _LETTERS.upper()
@@ -39,6 +41,7 @@ SUSPECT = r"[^\x{00}-\x{7F}]|&#|\?"
 _LOST = re.compile(r"[a-zà-ÿA-ZÀ-Ý]\?[a-zà-ÿ]|(?<![\w?])\?[a-zà-ÿ]{4}")
 _URL = re.compile(r"https?:|www\.|[/=&]")
 _RUN = re.compile(r"[^ \t\r\n]+")
+_PART = re.compile(r"[^\x00-\x7F]*\xa0(?=[\x00-\x7F])|[^\x00-\x7F]*(?:(?:&(?:amp;)*#\w+;)+|[\x00-\x7F])|[^\x00-\x7F]+")
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 _QUOTED = re.compile(r"""^[(\[]*[«“"'‘„‹`]+[^A-Za-z]+[»”"'’›`]+[)\].,;:!?]*$""")
 _memo: dict[str, tuple[str, float, tuple]] = {}
@@ -136,7 +139,7 @@ def repair_run(run: str) -> tuple[str, float, tuple]:
     start = _cost(run)
     best, best_cost, best_path = run, start, ()
     lettered = bool(_ASCII_LETTER.search(run))
-    if start >= 1 and len(run) < 400 and (lettered or any(to == "utf-8" for _, (_, to) in _steps(run))):
+    if start >= 1 and (lettered or any(to == "utf-8" for _, (_, to) in _steps(run))):
         frontier, seen = [(start, 0, run, ())], {run}
         while frontier and len(seen) < STATES:
             c, depth, text, path = heapq.heappop(frontier)
@@ -149,6 +152,8 @@ def repair_run(run: str) -> tuple[str, float, tuple]:
                     if to not in seen and (lettered or depth or step[1] == "utf-8"):
                         seen.add(to)
                         heapq.heappush(frontier, (_cost(to) + 0.2 * (depth + 1), depth + 1, to, (*path, step)))
+        if frontier and frontier[0][0] < best_cost - 0.5:  # reached, but not visited
+            best_cost, _, best, best_path = frontier[0]
     _memo[run] = best, start - best_cost, best_path
     return _memo[run]
 
@@ -160,12 +165,26 @@ def _along(run: str, path: tuple) -> str | None:
     return run
 
 
+def runs(text: str) -> Iterator[tuple[int, str]]:
+    """(place, run) of the pieces that are searched."""
+    for m in _RUN.finditer(text):
+        if len(m.group()) <= LONG or m.group().isascii() and "&#" not in m.group():
+            yield m.start(), m.group()
+            continue
+        at, held = m.start(), ""
+        for part in _PART.findall(m.group()):
+            if held and (len(held) + len(part) > LONG or held[-1] == "\xa0" or held[-1].isascii() and not held[-1].isalnum() and held[-1] not in "&#;'"):
+                yield at, held
+                at, held = at + len(held), ""
+            held += part
+        yield at, held
+
+
 def examine(text: str) -> tuple[bool, str]:
     """(affected, repaired text).  The steps that gain most over the document are
     preferred for each of its runs where they lead to a text about as plausible."""
     gain, lost, found, paths = 0.0, 0, [], {}
-    for m in _RUN.finditer(text):
-        run = m.group()
+    for start, run in runs(text):
         if run.isascii() and "&#" not in run or _QUOTED.match(run):
             continue
         if "\ufffd" in run:
@@ -173,7 +192,7 @@ def examine(text: str) -> tuple[bool, str]:
             continue
         to, won, path = repair_run(run)
         if path:
-            found.append((m.start(), m.end(), run, to if won >= 1 else run))
+            found.append((start, start + len(run), run, to if won >= 1 else run))
         if path and won >= 1:
             if any(s[1] == "utf-8" for s in path) or _ASCII_LETTER.search(run) and "&#" not in run:
                 gain += won

@@ -118,6 +118,20 @@ def test_encodings_are_undone(way):
     assert hit and sum(a == b for a, b in zip(repaired, text)) > 0.93 * len(text)
 
 
+def test_long_runs_without_blanks():
+    for whole in ("La última canción también. ".replace(" ", "\xa0") * 30, "función,última;" * 60, "canción" * 100, "日本語" * 200):
+        bad = whole.encode("utf-8").decode("latin-1")
+        assert len(bad) > 600 and mojibake.examine(bad) == (True, whole) and mojibake.examine(whole) == (False, whole)
+        assert "".join(r for _, r in mojibake.runs(bad)) == bad
+    assert mojibake.examine("x" * 1000 + "ñ" + "y" * 1000)[0] is False
+
+
+def test_a_state_reached_last_counts(monkeypatch):
+    monkeypatch.setattr(mojibake, "STATES", 2)
+    monkeypatch.setattr(mojibake, "_memo", {})
+    assert mojibake.repair_run("canciÃ³n")[0] == "canción"
+
+
 def test_single_damaged_words(spark):
     bad = ["La Ãºltima vez.", "MÃ¡s de uno.", "Un Ã¡rea.", "Il va Ã\xa0 Paris.", "A 25Â°C.", "El 1Âº de mayo.", "ESPAÃ‘A", "INTRODUCCIÃ“N"]
     whole = ["La última vez.", "Más de uno.", "Un área.", "Il va à Paris.", "A 25°C.", "El 1º de mayo.", "ESPAÑA", "INTRODUCCIÓN"]
