@@ -10,7 +10,9 @@ terms carry no label.
 
 Trusted seeds are clamped: documents whose given label is confirmed by keywords of that
 subject.  In each round terms take the mean labels of their documents, and the
-documents that aren't seeds take the labels of their terms.  At the end each document,
+documents that aren't seeds take the labels of their terms, until a round reaches no further
+document and moves less than ``MOVED`` of a document's labels in the mean (at most ``ROUNDS``
+rounds; the terms' labels may swing between two states).  At the end each document,
 seeds included, is labelled by its own terms: every subject with at least ``SHARE`` of
 the subject-bearing words, if these are at least ``TOPICAL`` of all words, so that
 several subjects or none may remain.
@@ -32,7 +34,8 @@ from lectern.llm import kinds
 from lectern.llm.words import folded_words
 from lectern.session import materialize
 
-PURITY, LEAST_DOCS, SHARE, TOPICAL, ROUNDS = 0.6, 3, 0.25, 0.02, 2
+PURITY, LEAST_DOCS, SHARE, TOPICAL, ROUNDS = 0.6, 3, 0.25, 0.02, 50
+MOVED = 0.001
 #: English names of the subject codes.
 ENGLISH = {
     "medicine": "medicina", "programming": "programacion", "physics": "fisica", "chemistry": "quimica", "history": "historia", "biology": "biologia",
@@ -109,7 +112,12 @@ def propagated(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         terms = materialize(_term_labels(docs, labels), "termlabels")
         carried = _carried(free, terms)
         total = carried.groupBy("id").agg(F.sum("weight").alias("total"))
-        labels = materialize(seeds.union(carried.join(total, "id").select("id", "label", F.col("weight") / F.col("total"))), "labels")
+        before, labels = labels, materialize(seeds.union(carried.join(total, "id").select("id", "label", F.col("weight") / F.col("total"))), "labels")
+        both = labels.groupBy("id", "label").agg(F.sum("weight").alias("now")).join(before.groupBy("id", "label").agg(F.sum("weight").alias("then")), ["id", "label"], "full")
+        per = both.groupBy("id").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("then", F.lit(0.0)))).alias("moved"), F.max(F.col("then").isNotNull()).alias("known"))
+        moved, fresh = per.agg(F.avg("moved") / 2, F.count_if(~F.col("known"))).first()
+        if not fresh and (moved or 0.0) < MOVED:
+            break
     return _carried(docs, materialize(_term_labels(docs, labels), "termlabels"))
 
 

@@ -229,6 +229,16 @@ def test_subjects(spark):
     assert subjects.found(none, subjects.propagated(none)).count() == 0
 
 
+def test_subjects_over_long_paths(spark):
+    areas = spark.createDataFrame([("ley", "es", "juez"), ("bio", "es", "célula")], "domain string, lang string, keyword string")
+    rest = "Nada de esto trata de algo y cada cosa es como otra cosa que no se dice aquí en tanto que sí se calla. "
+    links = ["El juez dicta la condena y el juez revisa la condena. ", "Una condena y el pleito con un pleito. ", "El pleito y el fiscal con un fiscal. ", "Un fiscal en la sala y la sala. ", "La sala y el acta con un acta. "]
+    rows = [(10 * j + i, x + rest, "ley" if j == 0 else None) for j, x in enumerate(links) for i in range(5)] + [(100 + i, "La célula tiene un núcleo y la célula guarda el núcleo. " + rest, "bio") for i in range(5)]
+    p = subjects.profiles(docs(spark, rows, "doc_id long, text string, domain string"), areas)
+    got = {(r["doc_id"], r["domain"]) for r in subjects.found(p, subjects.propagated(p)).collect()}
+    assert got == {(i, "ley" if i < 100 else "bio") for i, _, _ in rows}
+
+
 # --- 8 and 10 ---
 
 
