@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,26 +14,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table that would be read by fewer tasks than there are cores, dealt out to all; others as they are."""
+    """A table stored in fewer pieces than there are cores, dealt out to all; others as they are.  Results don't depend on it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` where the
-    cluster names one, a temporary folder of this machine only where it is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.  Only where a session runs on this
+    machine alone and names none, a temporary folder of it; on a cluster that is an error, for executors would
+    write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application's ``materialize`` wrote, once their results are no longer read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table of the shared folder and read it back.
 
-    Unlike a local checkpoint the files outlive the executors that wrote them."""
+    Unlike a local checkpoint the files outlive the executors that wrote them.  ``clear`` deletes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
