@@ -3,15 +3,18 @@
 Method: best-first graph search.  The states are the texts reachable from a run of
 characters by encoding it in one character set and decoding the bytes in another, or
 by unescaping entities; visited states are hashed; the frontier is ordered by a
-character-plausibility cost, and the cheapest text reached is the repair.  Runs are the
+character-plausibility cost, and the cheapest text reached is the repair.  The search ends
+when no text that is left to reach can be cheaper, for each step costs ``STEP``: it has no
+limit on states or depth.  Reading single bytes in another set twice in a row is one wrong
+reading too many for any text and is no path.  Runs are the
 pieces between ASCII blanks (a damaged text keeps those), so that damage in a part
 of a document is found and repaired in place; each distinct run is searched once per
 worker process.  A run of more than ``LONG`` characters is cut after ASCII signs, at NBSP before
 ASCII and at ``LONG`` where it has neither, but never between two characters that aren't ASCII.
 
 A document counts as affected if its runs get at least ``LEAST`` cheaper, or if
-characters are gone for good: U+FFFD, or a question mark within words.  Runs that
-are a quoted sequence without a letter of its own are quotations.
+characters are gone for good: U+FFFD, or a question mark within words (no search can tell, so a
+plain test does).  Runs that are a quoted sequence without a letter of its own are quotations.
 
 Null, empty and ASCII texts give no row in ``affected`` and themselves in ``repaired``.
 Rows are independent of each other: repeated rows give repeated results from
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 1.5
-STATES = 80
+STEP, BETTER = 0.2, 0.5
 LONG = 400
 _SINGLE = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp850", "cp437")
 _LETTERS = "áéíóúüñçàâêîôûèùëïãõœÿ"
@@ -112,13 +115,14 @@ def _apply(text: str, step: tuple[str, str]) -> str | None:
         return None
 
 
-def _steps(text: str):
+def _steps(text: str, reread: bool = True):
+    """(text, step) of each text one step away; ``reread``: whether single bytes may be read in another single-byte set."""
     if "&" in text and (u := html.unescape(text)) != text:
         yield u, ("unescape", "")
     for a in _SINGLE:
         if (raw := _encode(text, a)) is None:
             continue
-        for b in ("utf-8", *_SINGLE):
+        for b in ("utf-8", *_SINGLE) if reread else ("utf-8",):
             if a != b:
                 try:
                     yield raw.decode(b), (a, b)
@@ -139,21 +143,21 @@ def repair_run(run: str) -> tuple[str, float, tuple]:
     start = _cost(run)
     best, best_cost, best_path = run, start, ()
     lettered = bool(_ASCII_LETTER.search(run))
-    if start >= 1 and (lettered or any(to == "utf-8" for _, (_, to) in _steps(run))):
-        frontier, seen = [(start, 0, run, ())], {run}
-        while frontier and len(seen) < STATES:
-            c, depth, text, path = heapq.heappop(frontier)
-            if c < best_cost - 0.5:
+    if start >= 1 and (lettered or any(to == "utf-8" for _, (_, to) in _steps(run, False))):
+        frontier, seen = [(start, 0, run, (), True)], {(run, True)}
+        while frontier:
+            c, depth, text, path, reread = heapq.heappop(frontier)
+            if c < best_cost - BETTER:
                 best, best_cost, best_path = text, c, path
-                if c <= 0.2 * depth:
-                    break
-            if depth < 4:
-                for to, step in _steps(text):
-                    if to not in seen and (lettered or depth or step[1] == "utf-8"):
-                        seen.add(to)
-                        heapq.heappush(frontier, (_cost(to) + 0.2 * (depth + 1), depth + 1, to, (*path, step)))
-        if frontier and frontier[0][0] < best_cost - 0.5:  # reached, but not visited
-            best_cost, _, best, best_path = frontier[0]
+            if c <= STEP * depth:  # plausible throughout: what is left to reach can only have more steps or more cost
+                break
+            if STEP * (depth + 1) >= best_cost - BETTER:
+                continue
+            for to, step in _steps(text, reread):
+                after = step[1] in ("utf-8", "")
+                if (to, after) not in seen and (lettered or depth or step[1] == "utf-8"):
+                    seen.add((to, after))
+                    heapq.heappush(frontier, (_cost(to) + STEP * (depth + 1), depth + 1, to, (*path, step), after))
     _memo[run] = best, start - best_cost, best_path
     return _memo[run]
 

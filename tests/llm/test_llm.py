@@ -126,10 +126,13 @@ def test_long_runs_without_blanks():
     assert mojibake.examine("x" * 1000 + "ñ" + "y" * 1000)[0] is False
 
 
-def test_a_state_reached_last_counts(monkeypatch):
-    monkeypatch.setattr(mojibake, "STATES", 2)
-    monkeypatch.setattr(mojibake, "_memo", {})
+def test_search_has_no_limit_of_states():
     assert mojibake.repair_run("canciÃ³n")[0] == "canción"
+    bad = "canción"
+    for _ in range(5):  # deeper than the search once went
+        bad = bad.encode("utf-8").decode("latin-1")
+    assert mojibake.repair_run(bad)[0] == "canción"
+    assert mojibake.repair_run("последний")[0] == "последний"
 
 
 def test_single_damaged_words(spark):
