@@ -5,7 +5,12 @@ vote for a kind (prose, list, table, junk) or abstain; their accuracies are lear
 expectation-maximisation from how they agree over all documents, and the posterior of
 each document is the output.  The votes of a document are one small pattern, so only
 the counts of distinct patterns (at most 5 to the number of functions, whatever the
-number of documents) leave the executors.
+number of documents) leave the executors.  Before the first document each function is taken to be
+right ``PRIOR`` times, a fixed number: what it is worth is learned (``accuracies``).
+
+Functions 1, 2 and 8 read the same shares of line shapes at different thresholds, so together they
+count for more than three independent ones would; with the shape counted once, or with the others freed of
+their conditions, the maximum that the rounds reach calls wrapped prose lists or short prose junk (see README).
 
 Null and blank texts have figures 0, votes none, and no kind.  Texts of fewer than
 ``LEAST_CHARS`` characters without the blanks at both ends get a kind, but do not
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
-LEAST_CHARS = 40
+LEAST_CHARS, PRIOR = 40, 20
 #: The most common function words of the four languages.
 COMMON = frozenset(
     "a al ante con cuando de del desde e el en entre es esta este la las lo los más no o para pero por que qué se según si sin sino sobre su sus también tras un una y ya "
@@ -70,8 +75,12 @@ def _cells(s: str) -> int:
 
 def line_kind(s: str, words: list[str], letters: int, common: int) -> int:
     """Of one stripped line: 0 prose, 1 list, 2 table, 3 junk, 4 like an unmarked short item, 5 menu."""
-    if len(words) > 9 and common > 0.12 * len(words) and s[-1] in ".?!»”" and letters > 0.7 * len(s) and "  " not in s and "\t" not in s:
-        return 0  # what most lines are; the tests below come to the same
+    menu = 0 if MENU.isdisjoint(words) else sum(map(MENU.__contains__, words))
+    if (
+        len(words) > 9 and common > 0.12 * len(words) and letters > 0.7 * len(s) and menu < 4 and s[-1] in ".?!»”" and s[0] != "|" and "  " not in s and "\t" not in s and " | " not in s and ("," not in s or ", " in s)
+        and (";" not in s or "; " in s) and (letters > 0.75 * len(s) or not _LOG.search(s)) and not _HEX.match(s) and len(max(s.split(" "), key=len)) < 32
+    ):
+        return 0  # what most lines are: no test below can come to anything else
     if _HEX.match(s) or _LOG.search(s) and letters < 0.75 * len(s):
         return 3
     if (b := _BLOB.search(s)) and len(b.group()) > 0.5 * len(s) and len(set(b.group())) > 8 and not b.group().isalpha():
@@ -83,7 +92,6 @@ def line_kind(s: str, words: list[str], letters: int, common: int) -> int:
         return 0 if len(words) > (3 if s[0] == "—" else 9) and body[-1:] in ".?!»”" else 1
     if _ENTRY.search(s) and letters > 2:
         return 1
-    menu = sum(map(MENU.__contains__, words)) if len(words) < 200 else 0
     if menu >= 4 and menu > 0.6 * len(words):
         return 5
     if _cells(s) > 2:
@@ -169,29 +177,29 @@ def votes(f: tuple) -> str:
 LETTER = {"p": 0, "l": 1, "t": 2, "j": 3}
 
 
-def learn(counts: dict[str, int], rounds: int = 30) -> dict[str, list[float]]:
-    """Posterior over KINDS of each vote pattern.  Expectation-maximisation from the
-    majority's view; each function has a confusion row per kind, smoothed to its diagonal."""
+def learn(counts: dict[str, int], rounds: int = 30) -> tuple[dict[str, list[float]], np.ndarray]:
+    """Posterior over KINDS of each vote pattern, and the learned chance of each vote (KINDS, then none) by function
+    and true kind.  Expectation-maximisation from the majority's view; each function has a confusion row per kind."""
     patterns = sorted(p for p in counts if p)
     if not patterns:
-        return {}
+        return {}, np.empty((0, 4, 5))
     m, w = len(patterns[0]), np.array([counts[p] for p in patterns], float)
     seen = np.array([[LETTER.get(c, 4) for c in p] for p in patterns])
     post = np.array([[0.05 + sum(c == k for c in row) for k in range(4)] for row in seen])
     post /= post.sum(1, keepdims=True)
     prior_rows = np.full((4, 5), 0.05) + np.eye(4, 5) * 2
+    prior_rows *= PRIOR / prior_rows.sum(1, keepdims=True)
     for _ in range(rounds):
         mass = post * w[:, None]
         prior = (mass.sum(0) + 1) / (mass.sum() + 4)
         logp = np.log(prior)[None, :].repeat(len(patterns), 0)
+        tables = np.stack([prior_rows + np.stack([np.bincount(seen[:, j], mass[:, k], 5) for k in range(4)]) for j in range(m)])
+        tables /= tables.sum(2, keepdims=True)
         for j in range(m):
-            table = prior_rows * (1 + 0.01 * w.sum()) / 2
-            table = table + np.stack([np.bincount(seen[:, j], mass[:, k], 5) for k in range(4)])
-            table /= table.sum(1, keepdims=True)
-            logp += np.log(table[:, seen[:, j]]).T
+            logp += np.log(tables[j][:, seen[:, j]]).T
         post = np.exp(logp - logp.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
-    return {p: x.tolist() for p, x in zip(patterns, post)}
+    return {p: x.tolist() for p, x in zip(patterns, post)}, tables
 
 
 def _figure_batches(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,11 +217,20 @@ def described(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts.mapInPandas(_figure_batches, f"id long, n_chars int, {kinds}, votes string")
 
 
+def _counts(df: DataFrame) -> Counter:
+    return Counter({r["votes"]: r["count"] for r in df.where("votes is not null").groupBy("votes").count().collect()})
+
+
+def accuracies(df: DataFrame) -> DataFrame:
+    """(function, kind, voted, right): of documents of a kind, by the posterior, the share that each function votes on, and the share of these votes that is right (null without votes)."""
+    rows = [(j + 1, KINDS[k], float(1 - x[4]), float(x[k] / (1 - x[4])) if x[4] < 1 else None) for j, table in enumerate(learn(_counts(df))[1]) for k, x in enumerate(table)]
+    return df.sparkSession.createDataFrame(rows, "function int, kind string, voted double, right double")
+
+
 def posteriors(df: DataFrame) -> DataFrame:
     """``df`` with a column ``votes``, plus ``kind`` and one probability per kind."""
     spark = df.sparkSession
-    counts = {r["votes"]: r["count"] for r in df.where("votes is not null").groupBy("votes").count().collect()}
-    learned = learn(Counter(counts))
+    learned, _ = learn(_counts(df))
     rows = [(p, KINDS[int(np.argmax(x))], *x) for p, x in learned.items()]
     known = spark.createDataFrame(rows, "votes string, kind string, p_prose double, p_list double, p_table double, p_junk double")
     return df.join(F.broadcast(known), "votes", "left")

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kinds
-from lectern.llm.words import WORD
 
 LANGS = ("es", "fr", "pt", "en")
 SAMPLE, DIM, LEAST_WORDS, MARGIN = 250, 1 << 15, 4, 0.25
@@ -248,10 +247,10 @@ def segmented(df: DataFrame, machines: np.ndarray | None, id_col: str = "doc_id"
         shapes = [kinds.figures(t) for t in texts]
         found = _loaded(packed.value).segments(texts) if packed.value else [[]] * len(texts)
         segments = [[{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sentences": c} for a, b, k, m, n, c in x] for x in found]
-        words = [f[0] if f[0] > 100 else len(WORD.findall(t)) for f, t in zip(shapes, texts)]
-        return pd.DataFrame({"id": p["id"], "label": p["label"], "votes": [kinds.votes(f) for f in shapes], "n_words": words, "segments": segments})
+        return pd.DataFrame({"id": p["id"], "label": p["label"], "votes": [kinds.votes(f) for f in shapes], "n_words": p["n_words"], "segments": segments})
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), normalized(F.col(lang_col)).alias("label"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)))
     return texts.mapInPandas(run, _SEGMENTS)
 
 

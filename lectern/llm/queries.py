@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import distinctive, kinds, language, mixing, mojibake, neardup, pieces, scans, subjects, tokens
-from lectern.session import materialize, spread
-from lectern.session import table as stored
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(stored(spark, sf_dir, name))
+from lectern.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +43,11 @@ def p4_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.posteriors(figures).drop("votes").withColumnRenamed("id", "doc_id")
 
 
+def p4_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each labelling function is worth, as learned."""
+    return kinds.accuracies(materialize(kinds.described(table(spark, sf_dir, "documents")).select("votes"), "votes"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = materialize(distinctive.query_terms(table(spark, sf_dir, "benchmark")), "items")
     return distinctive.rare(table(spark, sf_dir, "passages"), items).join(items, "term").select("item_id", "pid").distinct()

@@ -167,6 +167,21 @@ def test_kinds(spark, data):
     assert kinds.found(kinds.posteriors(kinds.described(docs(spark, [])))).count() == 0
 
 
+def test_menu_lines_of_any_length():
+    menu = "home login contact menu search share cookies help de la y."
+    for k in (1, 17, 40):  # 11, 187 and 440 words
+        line = " ".join([menu] * k)
+        f = kinds.figures(line)
+        assert f[12] == 1.0 and kinds.votes(f)[0] == "j"
+
+
+def test_learned_accuracies_do_not_depend_on_the_prior_at_size():
+    counts = Counter({"ppppp-p-p": 9000, "ll-------": 300, "tt-----t-": 300, "jjj-j-j--": 300, "j---jj---": 100})
+    one, big = kinds.learn(counts), kinds.learn(Counter({k: v * 100 for k, v in counts.items()}))
+    assert all(np.argmax(one[0][k]) == np.argmax(big[0][k]) for k in counts)
+    assert np.abs(one[1][:, 0] - big[1][:, 0]).max() < 0.01 and one[1].shape == (9, 4, 5)
+
+
 def test_kinds_agree_with_labels(spark, data):
     labels = spark.read.parquet(f"{data}/labels.parquet").dropna(subset=["quality"]).dropDuplicates(["doc_id"])
     kind = kinds.posteriors(kinds.described(spark.read.parquet(f"{data}/documents.parquet"))).withColumnRenamed("id", "doc_id")
