@@ -10,9 +10,12 @@ and emitted by offset from the ranges they touch, so no step loads a whole giant
 
 Each piece but the last ends at the highest level, the latest of it, within the second
 half of its room; the next piece starts at the last pre-token boundary that leaves at
-least ``overlap`` tokens in common.  Token counts add up at pre-token boundaries, so
-every piece is within the limit.  A single pre-token of more than an eighth of the limit
-is cut into units of ``UNIT`` characters, each counted on its own with one token to spare.
+least ``overlap`` tokens in common.  Token counts add up at pre-token boundaries and, within
+a pre-token of more than an eighth of the limit, at the ends of its tokens, so sizes are
+exact and every piece is within the limit.
+
+The tokens of other tokenizers than the byte-level ones don't add up: their texts are counted and cut
+whole; ``n_tokens`` of a text is exact, that of a piece the sum over its words, each encoded alone.
 
 Null and empty texts, and texts within the limit, give no row.  Ids are expected to be
 unique; rows of the same id and text come out once.
@@ -29,26 +32,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tokens import CHUNK, TOKENIZERS, _pattern, encoder, stitched
+from lectern.llm.tokens import BYTE_LEVEL, CHUNK, TOKENIZERS, _pattern, encoder, file_chunks, stitched, stitched_chunks, token_bytes
 from lectern.session import materialize
 
-UNIT = 48
 _SENTENCE = re.compile(r"""[.!?…][)\]"'»”’]*$""")
-_TABLE = "key long, at long, size long, n long, off array<int>, tok array<int>, level array<int>, back array<int>, back_tok array<int>"
+_COLUMNS = ["key", "at", "size", "n", "off", "tok", "level", "back", "back_tok", "rest", "rest_tok"]
+_TABLE = "key long, at long, size long, n long, off array<int>, tok array<int>, level array<int>, back array<int>, back_tok array<int>, rest array<int>, rest_tok array<int>"
+
+
+def _token_ends(word: str, sizes: list[int]) -> list[tuple[int, int]]:
+    """(characters, tokens) up to each token of a long pre-token that ends with a character, but for its last two characters."""
+    starts = np.flatnonzero((np.frombuffer(word.encode("utf-8"), np.uint8) & 0xC0) != 0x80)
+    at = np.cumsum(sizes)
+    place = np.searchsorted(starts, at)
+    return [(k, n) for n, (k, byte) in enumerate(zip(place.tolist(), at.tolist()), 1) if k < len(starts) - 1 and starts[k] == byte]
+
 
+def boundary_table(text: str, count, first: bool, limit: int, overlap: int, sizes=None):
+    """(tokens, offsets, prefix tokens, levels, offsets to restart at, prefix tokens there, last offsets, prefix tokens there).
 
-def boundary_table(text: str, count, first: bool, limit: int, overlap: int):
-    """(tokens, offsets, prefix tokens, levels, offsets to restart at, prefix tokens there)."""
+    ``sizes`` gives the bytes of each token of a pre-token.  Where a restart lies in the range before, its offset is -1 and its
+    prefix tokens, below 0, say how far before; the last offsets are the boundaries in the last ``overlap`` tokens, where the
+    range after finds its restarts."""
     ends, toks, levels, words = [0], [0], [0], [m.group() for m in _pattern().finditer(text)]
+    blanks = []  # (boundary, tokens that two blank pre-tokens take less or more as one)
     for i, w in enumerate(words):
-        n = count(w)
-        if n > limit // 8:
-            for k in range(0, len(w), UNIT):
-                u = w[k : k + UNIT]
-                ends.append(ends[-1] + len(u)), toks.append(toks[-1] + count(u) + 1), levels.append(0)
-            continue
-        ends.append(ends[-1] + len(w)), toks.append(toks[-1] + n)
+        n, end, have = count(w), ends[-1], toks[-1]
+        if n > limit // 8 and sizes:
+            for k, m in _token_ends(w, sizes(w)):
+                ends.append(end + k), toks.append(have + m), levels.append(0)
+        ends.append(end + len(w)), toks.append(have + n)
         after = words[i + 1] if i + 1 < len(words) else ""
+        if w.isspace() and i and words[i - 1].isspace():
+            blanks.append((len(ends) - 1, count(words[i - 1] + w) - count(words[i - 1]) - n))
         if w.isspace() and "\n" in (run := words[i - 1] * (i > 0 and words[i - 1].isspace()) + w):
             levels.append(0 if after[:1].isspace() else 4 if run.count("\n") > 1 else 3)
         elif after[:1].isspace():
@@ -57,28 +73,26 @@ def boundary_table(text: str, count, first: bool, limit: int, overlap: int):
             levels.append(0)
     e, t, lv = np.array(ends), np.array(toks), np.array(levels)
     shown = t.copy()  # blanks at the end of a piece are one pre-token, within the text they may be two
-    at = 0
-    for i, w in enumerate(words[1:], 1):
-        at += len(words[i - 1])
-        if w.isspace() and words[i - 1].isspace():
-            k = int(np.searchsorted(e, at + len(w)))
-            shown[k] += count(words[i - 1] + w) - count(words[i - 1]) - count(w)
-    back = np.searchsorted(t, t - overlap, side="right") - 1
+    for k, more in blanks:
+        shown[k] += more
     keep, last1, last0 = [], 0, 0
     for i in range(1, len(e)):
-        if not first and t[i] < overlap:
-            continue
         if lv[i] >= 2 or lv[i] == 1 and t[i] - last1 >= 32 or t[i] - last0 >= 64:
             keep.append(i)
             last1 = last0 = t[i]
     k = np.array(keep, dtype=int)
-    b = np.maximum(back[k], 0)
-    return int(t[-1]), e[k], shown[k], lv[k], e[b], t[b]
+    back = np.searchsorted(t, t[k] - overlap, side="right") - 1
+    before = (back < 0) & (not first)
+    back = np.maximum(back, 0)
+    rest = np.flatnonzero(t >= t[-1] - overlap)
+    rest = np.concatenate([rest[:1] - 1, rest]) if rest[0] else rest
+    return int(t[-1]), e[k], shown[k], lv[k], np.where(before, -1, e[back]), np.where(before, t[k] - overlap, t[back]), e[rest], t[rest]
 
 
 def _tables(name: str, folder: str, limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, memo = encoder(name, folder), {}
+        by_id = token_bytes(name, folder) if name in BYTE_LEVEL else None
 
         def count(w: str) -> int:
             if (n := memo.get(w)) is None:
@@ -87,13 +101,15 @@ def _tables(name: str, folder: str, limit: int, overlap: int):
                     memo[w] = n
             return n
 
+        sizes = (lambda w: [len(by_id[i]) for i in encode(w)]) if by_id else None
         for b in batches:
-            cols = [[] for _ in range(8)]
+            cols = [[] for _ in range(10)]
             for at, text in zip(b.column("at").to_pylist(), b.column("text").to_pylist()):
-                for c, v in zip(cols, (at, len(text), *boundary_table(text, count, at == 0, limit, overlap))):
+                n, *rest = boundary_table(text, count, at == 0, limit, overlap, sizes)
+                for c, v in zip(cols, (at, len(text), n if by_id else len(encode(text)), *rest)):
                     c.append(v)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 5
-            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["key", "at", "size", "n", "off", "tok", "level", "back", "back_tok"])
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 7
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds))], _COLUMNS)
 
     return run
 
@@ -105,9 +121,15 @@ def choose(parts: pd.DataFrame, limit: int) -> list[tuple[int, int, int]]:
     zero = np.zeros(len(parts), dtype=np.int64)
     at = parts["at"].to_numpy()
     off, tok, level, back, back_tok = cat("off", at), cat("tok", base), cat("level", zero), cat("back", at), cat("back_tok", base)
+    rest, rest_tok = cat("rest", at), cat("rest_tok", base)
+    before = np.flatnonzero(cat("back", zero) < 0)
+    found = np.maximum(np.searchsorted(rest_tok, back_tok[before], side="right") - 1, 0)
+    back[before], back_tok[before] = rest[found], rest_tok[found]
     total, end = int(parts["n"].sum()), int(at[-1] + parts["size"].iloc[-1])
     out, start, have = [], 0, 0
-    while total - have > limit:
+    # The prefix sums of tokenizers whose tokens don't add up may end elsewhere than the count of the text.
+    whole = max(total, int(tok[-1])) if len(tok) else total
+    while whole - have > limit:
         lo, hi = np.searchsorted(tok, have + limit // 2, side="right"), np.searchsorted(tok, have + limit, side="right")
         if lo >= hi:
             lo = np.searchsorted(back_tok, have, side="right")
@@ -115,7 +137,7 @@ def choose(parts: pd.DataFrame, limit: int) -> list[tuple[int, int, int]]:
         i = lo + len(room) - 1 - int(np.argmax(room[::-1]))
         out.append((start, int(off[i]), int(tok[i] - have)))
         start, have = int(back[i]), int(back_tok[i])
-    return [*out, (start, end, total - have)]
+    return [*out, (start, end, whole - have)]
 
 
 def _chosen(limit: int):
@@ -128,11 +150,22 @@ def _chosen(limit: int):
 
 def ranges_of(df: DataFrame, limit: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """Ranges (key, at, text) of the texts that may be too long, and their boundary tables."""
-    texts = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") > limit)
-    short, long = texts.where(F.length("text") <= CHUNK).select("key", F.lit(0).cast("long").alias("at"), "text"), texts.where(F.length("text") > CHUNK)
-    ranges = short if long.isEmpty() else short.union(stitched(long.dropDuplicates(["key"])))
-    tables = ranges.mapInArrow(_tables(name, folder, limit, overlap), _TABLE)
-    return ranges, materialize(tables, "boundaries")
+    # A token of a byte-level vocabulary has a byte at least; other tokenizers may add one for the start.
+    texts = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") > limit - (name not in BYTE_LEVEL))
+    long = F.length("text") > CHUNK if name in BYTE_LEVEL else F.lit(False)
+    ranges = texts.where(~long).select("key", F.lit(0).cast("long").alias("at"), "text").union(stitched(texts.where(long).dropDuplicates(["key"]), name, folder))
+    return ranges, tabled(ranges, limit, overlap, name, folder)
+
+
+def tabled(ranges: DataFrame, limit: int, overlap: int, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """The boundary tables of ranges (key, at, text)."""
+    return materialize(ranges.mapInArrow(_tables(name, folder, limit, overlap), _TABLE), "boundaries")
+
+
+def file_ranges(spark, paths: list[str], limit: int, overlap: int, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+    """Ranges and boundary tables of giant files, read in ranges of bytes; the keys are the files' places in ``paths``."""
+    ranges = stitched_chunks(file_chunks(spark, paths), name, folder)
+    return ranges, tabled(ranges, limit, overlap, name, folder)
 
 
 def oversized(tables: DataFrame, limit: int) -> DataFrame:

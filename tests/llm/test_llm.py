@@ -313,6 +313,55 @@ def test_pieces(spark):
     assert pieces.limits_of(spark.createDataFrame([], "tokenizer string, max_tokens int, overlap_tokens int")) == ("byte_bpe_50k", 2048, 64)
 
 
+def test_long_words_count_exactly(spark):
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnñé") for _ in range(1500))
+    encode = tokens.encoder()
+    rest = " uno dos tres cuatro cinco." * 400
+    while len(encode(word + rest)) > 2045:
+        rest = rest[:-1]
+    rows = [(1, word + rest), (2, word + rest + " y algo más y otra cosa"), (3, "¡" * 3000 + "'s " + word * 3)]
+    ranges, tables = pieces.ranges_of(docs(spark, rows), 2048, 64)
+    assert {r["key"]: r["n_tokens"] for r in pieces.oversized(tables, 2048).collect()} == {i: n for i, t in rows if (n := len(encode(t))) > 2048}
+    for r in pieces.emitted(ranges, pieces.spans(tables, 2048)).collect():
+        assert r["n_tokens"] == len(encode(r["text"])) <= 2048
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k", "piece_bpe_32k"])
+def test_limits_of_other_tokenizers(spark, name):
+    encode, text = tokens.encoder(name), "Una frase corta que dice algo; otra que dice más cosas. " * 3000
+    ranges, tables = pieces.ranges_of(docs(spark, [(1, text), (2, text[:700]), (3, None)]), 400, 20, name=name)
+    assert {r["key"]: r["n_tokens"] for r in pieces.oversized(tables, 400).collect()} == {1: len(encode(text))}
+    got = sorted(pieces.emitted(ranges, pieces.spans(tables, 400)).collect(), key=lambda r: r["piece"])
+    assert len(got) > 2 and all(len(encode(r["text"])) <= 400 for r in got) and got[-1]["end"] == len(text)
+
+
+def test_files_by_ranges_of_bytes(spark, tmp_path):
+    texts = [long_texts()[1], "ñandú 👩‍🔬 corre. " * 30_000, "", "corto"]
+    paths = []
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode("utf-8"))
+        paths.append(str(tmp_path / f"{i}.txt"))
+    got = defaultdict(str)
+    for r in tokens.stitched_chunks(tokens.file_chunks(spark, paths)).orderBy("key", "at").collect():
+        assert len(got[r["key"]]) == r["at"]
+        got[r["key"]] += r["text"]
+    assert [got[i] for i in range(4)] == texts
+    ranges, tables = pieces.file_ranges(spark, paths, 500, 32)
+    encode = tokens.encoder()
+    assert {r["key"]: r["n_tokens"] for r in pieces.oversized(tables, 500).collect()} == {i: n for i, t in enumerate(texts) if (n := len(encode(t))) > 500}
+
+
+def test_a_word_over_many_chunks(spark):
+    rng = random.Random(6)
+    texts = {1: "".join(rng.choice("abcdeñ") for _ in range(100_000)), 2: "x " + "".join(rng.choice("<>=+*") for _ in range(80_000)) + " fin", 3: "uno " + "".join(rng.choice(" \n\t") for _ in range(70_000)) + "dos"}
+    pieces_of = tokens.stitched(spark.createDataFrame(list(texts.items()), "key long, text string")).collect()
+    assert Counter(r["key"] for r in pieces_of) == {1: 4, 2: 3, 3: 3} and max(len(r["text"]) for r in pieces_of) < 2 * tokens.CHUNK
+    encode = tokens.encoder()
+    got = {r["doc_id"]: r["ids"] for r in tokens.encoded(docs(spark, list(texts.items()))).collect()}
+    assert all(got[i] == encode(t) for i, t in texts.items())
+
+
 def test_pieces_cut_at_paragraphs(spark):
     para = "Una frase corta que dice algo. Otra frase que dice más cosas. " * 4
     text = (para.strip() + "\n\n") * 20
