@@ -53,6 +53,43 @@ def test_hot_group_of_near_copies(spark):
     assert len(groups) == 325 and {r["group_id"] for r in groups} == {0}
 
 
+def test_pairs_just_over_the_threshold(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):  # runs of three words around each replaced word differ; the second text of a pair keeps somewhat more than half
+        w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        v = list(w)
+        for j in rng.sample(range(0, 120, 3), rng.randrange(12, 15)):
+            v[j] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    want = brute_pairs(dict(rows), 3, 0.5, 20)
+    got = {tuple(r) for r in neardup.similar_pairs(*neardup.similar_classes(docs(spark, rows), k=3, threshold=0.5, min_words=20)).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_thresholds_follow_from_the_similarity():
+    sample = np.random.default_rng(1).integers(0, 2**16, (500, neardup.CODES)).astype(np.uint16)
+    for similarity in (0.5, 0.65, 0.8):
+        t = [t for _, t in neardup.fit_partitions(sample, similarity, 10**6)]
+        assert neardup.missed(t, similarity) <= neardup.MISS and neardup._tail(neardup.CODES, 1 - similarity, neardup.CODES - neardup.least_equal(similarity)) <= neardup.MISS
+    assert sum(t + 1 for t in t) < sum(t + 1 for _, t in neardup.fit_partitions(sample, 0.5, 10**6))
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_buckets_across_batches(step, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    sig = np.repeat([-5, 2, 3, 9, 12], [3, 13, 1, 4, 5])
+    ids = np.arange(len(sig))
+    rows = [r for b in neardup._probe(pa.RecordBatch.from_arrays([pa.array(sig[a : a + step]), pa.array(ids[a : a + step])], ["sig", "id"]) for a in range(0, len(sig), step)) for r in b.to_pylist()]
+    small = {(r["a"], r["b"]) for r in rows if r["sig"] is None}
+    assert small == {(a, b) for a in ids for b in ids if a < b and sig[a] == sig[b] and sig[a] in (-5, 9)}
+    large = [(r["sig"], r["block"], r["a"]) for r in rows if r["sig"] is not None]
+    assert sorted(x[2] for x in large) == ids[(sig == 2) | (sig == 12)].tolist() and max(Counter(x[:2] for x in large).values()) == 4
+    assert {x[1] for x in large if x[0] == 2} == {0, 1, 2, 3} and {x[1] for x in large if x[0] == 12} == {0, 1}
+
+
 def test_no_documents_no_pairs(spark):
     members, links = neardup.similar_classes(docs(spark, []))
     assert members.count() == 0 and neardup.similar_pairs(members, links).count() == 0
