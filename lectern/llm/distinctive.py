@@ -12,7 +12,8 @@ records.  Copies under other ids are records of their own.
 
 ``rare`` counts before it shuffles: each batch sends one row per term that is frequent
 in it and single rows only for the others, so a term found in every record costs as
-little as a rare one.
+little as a rare one.  Of the terms asked for only a filter of ``SLOTS`` bits is sent to the tasks, at any
+number of them; what passes it by chance is dropped by a join.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from lectern.llm.words import WORD, fold
 from lectern.session import materialize
 
 WINDOW = 4
-#: Terms looked up may be broadcast up to this number (about 40 bytes each); beyond it they are joined.
-LOOKUP = 200_000
+#: Slots (a multiple of 8) of the filter that terms looked up are hashed to.  It is all that is sent of them, whatever their number.
+SLOTS = 1 << 20
 
 
 def term(word: str) -> str:
@@ -73,8 +75,23 @@ def degrees(ids: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return pairs[0], pairs[1], out
 
 
-def _rare_batches(wanted: frozenset | None, most: int):
+def _slot(words, slots: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) % slots for w in words), np.int64)
+
+
+def _slots(slots: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield pd.DataFrame({"slot": np.unique(_slot(p["term"], slots))})
+
+    return run
+
+
+def _rare_batches(wanted, most: int, slots: int):
+    """``wanted``: a broadcast of the slots in use, a bit each.  The row without a term counts the records that have any."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
         for p in batches:
             if not len(p):
                 continue
@@ -84,12 +101,13 @@ def _rare_batches(wanted: frozenset | None, most: int):
             once = np.unique(np.stack([np.where(ids >= 0, ids, -1), owner]), axis=1)
             once = once[:, once[0] >= 0]
             n = np.bincount(once[0], minlength=len(names))
-            look = np.array([w in wanted for w in names], bool) if wanted is not None else np.ones(len(names), bool)
+            look = used[_slot(index, slots)]
             often = np.flatnonzero(look & (n > most))
             few = look & (n <= most)
             at = np.flatnonzero((ids >= 0) & few[ids]) if len(names) else np.empty(0, np.int64)
             pid = p["pid"].to_numpy()
-            out = [pd.DataFrame({"term": names[often], "n": n[often], "pid": pd.array([None] * len(often), "Int64"), "degree": 0})]
+            some = pd.DataFrame({"term": [None], "n": [len(np.unique(owner[ids >= 0]))], "pid": pd.array([None], "Int64"), "degree": 0})
+            out = [some, pd.DataFrame({"term": names[often], "n": n[often], "pid": pd.array([None] * len(often), "Int64"), "degree": 0})]
             if len(at):
                 rec, t, d = degrees(ids, owner, at)
                 out.append(pd.DataFrame({"term": names[t], "n": 1, "pid": pd.array(pid[rec], "Int64"), "degree": d}))
@@ -102,20 +120,22 @@ def _records(df: DataFrame, id_col: str, title_col: str, text_col: str) -> DataF
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("pid"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
 
 
-def rare(df: DataFrame, queries: DataFrame, most: int = 6, id_col: str = "pid", title_col: str = "title", text_col: str = "text") -> DataFrame:
+def rare(df: DataFrame, queries: DataFrame, most: int = 6, id_col: str = "pid", title_col: str = "title", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """(term, pid, df, weight) of the terms of ``queries`` (a column ``term``) that stand in at most ``most`` records.
 
+    Which terms come out depends on the rarity alone, one factor of the weight; the degree tells which of their records they say most about.
+
     Ids are expected to be unique here."""
     wanted = queries.select("term").where("term is not null").distinct()
-    size = wanted.count()
-    lookup = frozenset(r[0] for r in wanted.collect()) if size <= LOOKUP else None
+    used = np.zeros(slots, bool)
+    used[wanted.mapInPandas(_slots(slots), "slot int").distinct().toArrow().column(0).to_numpy()] = True  # at most ``slots`` numbers
+    sent = df.sparkSession.sparkContext.broadcast(np.packbits(used).tobytes())
     records = _records(df, id_col, title_col, text_col)
-    rows = materialize(records.mapInPandas(_rare_batches(lookup, most), "term string, n long, pid long, degree long"), "terms")
-    if lookup is None:
-        rows = rows.join(wanted, "term", "left_semi")
-    n = records.count()
+    seen = materialize(records.mapInPandas(_rare_batches(sent, most, slots), "term string, n long, pid long, degree long"), "terms")
+    n = seen.where("term is null").agg(F.sum("n").alias("n_records"))
+    rows = seen.join(wanted, "term", "left_semi")
     few = rows.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") <= most)
-    return rows.where("pid is not null").join(few, "term").select("term", "pid", "df", (F.col("degree") * F.log1p(n / F.col("df"))).alias("weight"))
+    return rows.where("pid is not null").join(few, "term").crossJoin(F.broadcast(n)).select("term", "pid", "df", (F.col("degree") * F.log1p(F.col("n_records") / F.col("df"))).alias("weight"))
 
 
 def _degree_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -49,10 +49,18 @@ def p4_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each item's rare terms: its cases ask for the rarity of a term only, so the weights that ``rare`` gives play no part in which rows come out."""
     items = materialize(distinctive.query_terms(table(spark, sf_dir, "benchmark")), "items")
     return distinctive.rare(table(spark, sf_dir, "passages"), items).join(items, "term").select("item_id", "pid").distinct()
 
 
+def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each item's rare terms say about their passages: the sums of the weights."""
+    items = materialize(distinctive.query_terms(table(spark, sf_dir, "benchmark")), "items")
+    held = distinctive.rare(table(spark, sf_dir, "passages"), items).join(items, "term")
+    return held.groupBy("item_id", "pid").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n_terms"))
+
+
 def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.weights(table(spark, sf_dir, "passages"))
 

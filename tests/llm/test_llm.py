@@ -239,6 +239,17 @@ def test_rare_terms_as_brute_force(spark, data):
     assert {tuple(r) for r in queries.p5_found(spark, data).collect()} == want
 
 
+def test_rare_terms_with_a_full_filter(spark, data):
+    want = {tuple(r) for r in queries.p5_found(spark, data).collect()}
+    wanted = distinctive.query_terms(spark.read.parquet(f"{data}/benchmark.parquet"))
+    passages = spark.read.parquet(f"{data}/passages.parquet")
+    assert want == {tuple(r) for r in distinctive.rare(passages, wanted, slots=8).join(wanted, "term").select("item_id", "pid").distinct().collect()}
+    all_ = distinctive.weights(passages).withColumnRenamed("weight", "w")
+    one = distinctive.rare(passages, wanted).join(all_, ["pid", "term"])
+    assert one.count() > 0 and one.where("abs(weight - w) > 1e-9").count() == 0
+    assert {(r["item_id"], r["pid"]) for r in queries.p5_passages(spark, data).collect()} == want
+
+
 def test_graph_of_words(spark):
     rows = [(1, "Gato", "gato perro gatos ratón"), (2, None, "perro"), (3, "", None), (4, "x", "perro " * 30)]
     got = {(r["pid"], r["term"]): r["weight"] for r in distinctive.weights(docs(spark, rows, "pid long, title string, text string")).collect()}
