@@ -139,6 +139,13 @@ def test_words_of_few_sightings_in_large_tables(spark, monkeypatch):
     assert got == {(200, "núrfola", "núrtola")}
 
 
+def test_paragraphs_over_many_pages(spark):
+    rows = [(1, p, 0, "abc de" if p % 2 else "fgh-") for p in range(scans.PAGES - 3, scans.PAGES + 2)] + [(1, scans.PAGES + 1, 1, "Fin."), (1, scans.PAGES + 2, 0, "Otro"), (1, scans.PAGES + 4, 0, "tras un hueco")]
+    got = [tuple(r) for r in scans.stitched(docs(spark, rows, "doc_id long, page int, paragraph int, text string")).orderBy("paragraph").collect()]
+    n = scans.PAGES
+    assert got == [(1, 0, n - 3, n + 1, "abc de fghabc de fghabc de"), (1, 1, n + 1, n + 1, "Fin."), (1, 2, n + 2, n + 2, "Otro"), (1, 3, n + 4, n + 4, "tras un hueco")]
+
+
 def test_no_pages(spark):
     assert scans.found(scans.examined(docs(spark, [], "doc_id long, page int, text string"))).count() == 0
 
