@@ -10,7 +10,8 @@ n-grams, so a sentence's score is the sum of scores that each distinct word gets
 
 Segments are sentences; neighbours of one language are one segment.  A sentence of
 fewer than ``LEAST_WORDS`` words, or without a clear margin, takes the language of its
-neighbours.  The confidence is the logistic of the mean margin of the deciding machine.
+neighbours.  A document has whole sentences in a second language if those that end like a
+sentence, with a margin of at least ``STRONG``, have ten words together.  The confidence is the logistic of the mean margin of the deciding machine.
 
 Null and blank texts get no segment and a language of null with confidence 0.  If no
 labelled document is at hand, nothing can be learned and every language is null.
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from lectern.llm import kinds
 
 LANGS = ("es", "fr", "pt", "en")
-SAMPLE, DIM, LEAST_WORDS, MARGIN = 250, 1 << 15, 4, 0.25
+SAMPLE, DIM, LEAST_WORDS, MARGIN, STRONG, CLAIM = 250, 1 << 15, 4, 0.25, 0.75, 0.9
+#: End of a whole sentence.
+_WHOLE = re.compile(r"[.?!…][»”\"')\]*_]*\s*$")
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Ends of sentences; of paragraphs; of lines that end like a sentence or before an item (others are wrapped lines).
 _CUT = re.compile(
@@ -159,7 +162,7 @@ class Model:
         return np.array(out, np.int64)
 
     def segments(self, texts: list[str]) -> list[list[tuple[int, int, int, float, int, int]]]:
-        """Of each text (start, end, language, margin, words, clear whole sentences) of each segment."""
+        """Of each text (start, end, language, margin, words, words in whole sentences beyond doubt) of each segment."""
         spans, words, sizes, counts = [], [], [], []
         for text in texts:
             lower = text.lower()
@@ -181,14 +184,17 @@ class Model:
             score[full] = np.add.reduceat(table, np.concatenate([[0], np.cumsum(n[full])[:-1]]))
         lang, margin = _decide_all(score[:, :-1] / np.maximum(score[:, -1:], 1))
         clear = (n >= LEAST_WORDS) & (margin >= MARGIN)
+        strong = clear & (margin >= STRONG)
         out, at = [], 0
-        for k in counts:
-            out.append(self._joined(spans[at : at + k], lang[at : at + k], margin[at : at + k], n[at : at + k], clear[at : at + k], score[at : at + k]))
+        for text, k in zip(texts, counts):
+            for i in np.flatnonzero(strong[at : at + k]) + at:
+                strong[i] = _WHOLE.search(text, max(spans[i][0], spans[i][1] - 20), spans[i][1]) is not None
+            out.append(self._joined(spans[at : at + k], lang[at : at + k], margin[at : at + k], n[at : at + k], clear[at : at + k], strong[at : at + k], score[at : at + k]))
             at += k
         return out
 
     @staticmethod
-    def _joined(spans, lang, margin, n, clear, score):
+    def _joined(spans, lang, margin, n, clear, strong, score):
         if not len(n) or not n.any():
             return []
         if not clear.any():  # the text as a whole decides
@@ -198,15 +204,15 @@ class Model:
         first = int(np.argmax(clear))
         if (lang[clear] == lang[first]).all():  # most texts
             m = float((margin * n)[clear].sum() / n[clear].sum())
-            return [(0, spans[-1][1], int(lang[first]), m, int(n.sum()), int(clear.sum()))]
+            return [(0, spans[-1][1], int(lang[first]), m, int(n.sum()), int(n[strong].sum()))]
         out, last = [], int(lang[first])
-        for (a, b), k, m, w, c in zip(spans, lang.tolist(), margin.tolist(), n.tolist(), clear.tolist()):
+        for (a, b), k, m, w, c, s in zip(spans, lang.tolist(), margin.tolist(), n.tolist(), clear.tolist(), strong.tolist()):
             last = k if c else last
             if out and out[-1][2] == last:
                 p = out[-1]
-                out[-1] = (p[0], b, last, (p[3] * p[4] + m * w) / max(1, p[4] + w) if c else p[3], p[4] + w, p[5] + c)
+                out[-1] = (p[0], b, last, (p[3] * p[4] + m * w) / max(1, p[4] + w) if c else p[3], p[4] + w, p[5] + w * s)
             else:
-                out.append((a, b, last, m, w, int(c)))
+                out.append((a, b, last, m, w, w * s))
         return out
 
 
@@ -230,7 +236,7 @@ def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(rows)
 
 
-_SEGMENTS = "id long, label string, votes string, n_words int, segments array<struct<start:int, end:int, lang:string, confidence:double, n_words:int, sentences:int>>"
+_SEGMENTS = "id long, label string, votes string, n_words int, segments array<struct<start:int, end:int, lang:string, confidence:double, n_words:int, sure_words:int>>"
 
 
 def segmented(df: DataFrame, machines: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -246,7 +252,7 @@ def segmented(df: DataFrame, machines: np.ndarray | None, id_col: str = "doc_id"
         texts = [t if t and packed.value else "" for t in p["text"]]
         shapes = [kinds.figures(t) for t in texts]
         found = _loaded(packed.value).segments(texts) if packed.value else [[]] * len(texts)
-        segments = [[{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sentences": c} for a, b, k, m, n, c in x] for x in found]
+        segments = [[{"start": a, "end": b, "lang": LANGS[k], "confidence": 1 / (1 + np.exp(-4 * m)), "n_words": n, "sure_words": c} for a, b, k, m, n, c in x] for x in found]
         return pd.DataFrame({"id": p["id"], "label": p["label"], "votes": [kinds.votes(f) for f in shapes], "n_words": p["n_words"], "segments": segments})
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), normalized(F.col(lang_col)).alias("label"), F.col(text_col).alias("text"))
@@ -263,19 +269,21 @@ def document_languages(segments: DataFrame) -> DataFrame:
 
 
 def sentence_languages(least_words: int = 10):
-    """Column: languages with two clear sentences or one of ``least_words``; the one of most words if none has."""
+    """Column: the language of most words, and every other one that has ``least_words`` in whole sentences beyond doubt."""
     s = F.col("segments")
     of = lambda lang: F.filter(s, lambda x: x["lang"] == lang)
     total = lambda xs, c: F.aggregate(xs, F.lit(0), lambda a, x: a + x[c])
-    whole = [F.when((total(of(c), "sentences") > 1) | (total(F.filter(of(c), lambda x: x["sentences"] > 0), "n_words") >= least_words), F.lit(c)) for c in LANGS]
     most = F.array_max(F.array(*[F.struct(total(of(c), "n_words").alias("n"), F.lit(c).alias("lang")) for c in LANGS]))["lang"]
-    clear = F.array_compact(F.array(*whole))
-    return F.when(F.size(clear) > 0, clear).otherwise(F.array(most))
+    return F.array_compact(F.array(*[F.when((most == c) | (total(of(c), "sure_words") >= least_words), F.lit(c)) for c in LANGS]))
 
 
 def found(segments: DataFrame, least_words: int = 20) -> DataFrame:
-    """(doc_id, lang) of documents whose label is missing or wrong, or that have whole sentences in two languages."""
+    """(doc_id, lang) of documents whose label is missing or wrong, or that have whole sentences in two languages.
+
+    A label of one of the languages is wrong only where the mean confidence is at least ``CLAIM``: entries without function words say little."""
+    sums = F.aggregate("segments", F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("n")), lambda a, x: F.struct((a["c"] + x["confidence"] * x["n_words"]).alias("c"), (a["n"] + x["n_words"]).alias("n")))
     kept = kinds.posteriors(segments).where((F.col("n_words") >= least_words) & F.col("kind").isin("prose", "list"))
-    kept = kept.select("id", "label", sentence_languages().alias("langs"))
-    off = F.col("label").isNull() | ~F.coalesce(F.array_contains("langs", F.col("label")), F.lit(False)) | (F.size("langs") > 1)
-    return kept.where(off).select(F.col("id").alias("doc_id"), F.explode("langs").alias("lang")).distinct()
+    kept = kept.select("id", "label", sentence_languages().alias("langs"), sums.alias("sums"))
+    doubtful = F.col("label").isin(*LANGS) & (F.col("sums.c") < CLAIM * F.col("sums.n"))
+    wrong = ~F.coalesce(F.array_contains("langs", F.col("label")), F.lit(False)) & ~doubtful
+    return kept.where(F.col("label").isNull() | wrong | (F.size("langs") > 1)).select(F.col("id").alias("doc_id"), F.explode("langs").alias("lang")).distinct()
