@@ -2,8 +2,9 @@
 
 Method: hierarchical discrimination.  A first linear support vector machine tells the
 family (Germanic or Romance); within the Romance family one-versus-one machines
-separate each pair of languages and vote.  All are trained here, on whole texts of at
-most ``SAMPLE`` labelled documents of each language (the rows of the least hashes), first
+separate each pair of languages and vote.  All are trained here, on at
+most ``SAMPLE`` labelled documents of each language (the rows of the least hashes, at most
+``SENTENCES`` sentences of each, evenly spread), first
 on the labels as they are and then without the sentences that the first machines
 put elsewhere, for some labels are wrong.  Features are words and their character
 n-grams, so a sentence's score is the sum of scores that each distinct word gets once.
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kinds
+from lectern.session import materialize
 
 LANGS = ("es", "fr", "pt", "en")
-SAMPLE, DIM, LEAST_WORDS, MARGIN, STRONG, CLAIM = 250, 1 << 15, 4, 0.25, 0.75, 0.9
+SAMPLE, SENTENCES, DIM, LEAST_WORDS, MARGIN, STRONG, CLAIM = 250, 40, 1 << 15, 4, 0.25, 0.75, 0.9
 #: End of a whole sentence.
 _WHOLE = re.compile(r"[.?!…][»”\"')\]*_]*\s*$")
 _PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -227,13 +229,25 @@ def _loaded(packed: bytes) -> Model:
     return _model[key]
 
 
+def _excerpts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """At most SENTENCES sentences of each text, evenly spread."""
+    for p in batches:
+        out = []
+        for text in p["text"]:
+            spans = sentences(text)
+            out.append("\n\n".join(text[a:b].strip() for a, b in spans[:: -(-len(spans) // SENTENCES) or 1]) if len(spans) > SENTENCES else text)
+        yield pd.DataFrame({"text": out, "lang": p["lang"]})
+
+
 def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> np.ndarray | None:
-    """Fit on at most SAMPLE labelled documents of each language, picked by hash."""
+    """Fit on at most SAMPLE labelled documents of each language, picked by hash, and SENTENCES of each."""
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), normalized(F.col(lang_col)).alias("lang")).where(F.col("lang").isin(*LANGS) & F.col("text").rlike(r"(\p{L}+\P{L}+){20}"))
-    rows = []
-    for lang in LANGS:
-        rows += [(r["text"], lang) for r in named.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text").collect()]
-    return fit(rows)
+    able = materialize(named.select("id", "lang"), "labelled")
+    ids = [r["id"] for lang in LANGS for r in able.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    if not ids:
+        return None
+    rows = named.where(F.col("id").isin(ids)).orderBy("lang", F.xxhash64("id"), "id").select("text", "lang").mapInPandas(_excerpts, "text string, lang string").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: LANGS.index(r["lang"]))])
 
 
 _SEGMENTS = "id long, label string, votes string, n_words int, segments array<struct<start:int, end:int, lang:string, confidence:double, n_words:int, sure_words:int>>"
