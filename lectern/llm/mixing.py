@@ -36,8 +36,10 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 
 
 def sized(df: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, source, n_tokens), written once: the rates and the copies both read it."""
-    return materialize(df.select("doc_id", "source").join(counted(df, "doc_id", "text", name, folder), "doc_id"), "sizes")
+    """(doc_id, source, n_tokens), written once: the rates and the copies both read it.
+
+    Rows of one id are one document: their texts add up, and of their sources it has the least."""
+    return materialize(df.where("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source")).join(counted(df, "doc_id", "text", name, folder), "doc_id"), "sizes")
 
 
 def mixed(sizes: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None) -> DataFrame:

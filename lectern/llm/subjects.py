@@ -12,8 +12,8 @@ Trusted seeds are clamped: documents whose given label is confirmed by keywords
 subject.  In each round terms take the mean labels of their documents, and the
 documents that aren't seeds take the labels of their terms, until a round reaches no further
 document and moves less than ``MOVED`` of a document's labels in the mean (at most ``ROUNDS``
-rounds; the terms' labels may swing between two states).  At the end each document,
-seeds included, is labelled by its own terms: every subject with at least ``SHARE`` of
+rounds; the terms' labels may swing between two states).  At the end a seed keeps its label, and
+each document, seeds included, has every subject with at least ``SHARE`` of
 the subject-bearing words, if these are at least ``TOPICAL`` of all words, so that
 several subjects or none may remain.
 
@@ -45,10 +45,10 @@ ENGLISH = {
 _STOP = frozenset(w for x in kinds.COMMON for w in folded_words(x))
 
 
-def _profile(codes: frozenset, keywords: dict[str, frozenset]):
+def _profile(codes: frozenset, keywords: dict[str, frozenset], names: dict[str, str]):
     def code(raw) -> str | None:
         c = "".join(folded_words(raw)) if isinstance(raw, str) else ""
-        c = ENGLISH.get(c, c)
+        c = names.get(c, c)
         return c if c in codes else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,16 +70,16 @@ def _profile(codes: frozenset, keywords: dict[str, frozenset]):
     return run
 
 
-def profiles(df: DataFrame, subject_areas: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain") -> DataFrame:
+def profiles(df: DataFrame, subject_areas: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "domain", names: dict[str, str] = ENGLISH) -> DataFrame:
     """One row per document: id, trusted label or null, votes on the kind, words, distinct terms and their counts.
 
-    ``subject_areas`` (domain, keyword) is the code list, a parameter of a few hundred rows."""
+    ``subject_areas`` (domain, keyword) is the code list, a parameter of a few hundred rows; ``names`` are other names of its codes."""
     areas = [(r["domain"], r["keyword"]) for r in subject_areas.select("domain", "keyword").where("domain is not null and keyword is not null").distinct().collect()]
     keywords: dict[str, set] = {}
     for c, k in areas:
         for w in folded_words(k):
             keywords.setdefault(w, set()).add(c)
-    run = _profile(frozenset(c for c, _ in areas), {k: frozenset(v) for k, v in keywords.items()})
+    run = _profile(frozenset(c for c, _ in areas), {k: frozenset(v) for k, v in keywords.items()}, names)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("id is not null")
     return materialize(texts.mapInPandas(run, "id long, seed string, votes string, n_words int, terms array<string>, counts array<int>"), "profiles")
 
@@ -125,9 +125,10 @@ def found(docs: DataFrame, carried: DataFrame, least_words: int = 20) -> DataFra
     """(doc_id, domain, share) of prose and lists that have a subject."""
     carried = materialize(carried, "carried")
     total = carried.groupBy("id").agg(F.sum("weight").alias("total"))
-    kept = kinds.posteriors(docs.select("id", "votes", "n_words")).where((F.col("n_words") >= least_words) & F.col("kind").isin("prose", "list")).select("id", "n_words")
+    kept = kinds.posteriors(docs.select("id", "votes", "n_words", "seed")).where((F.col("n_words") >= least_words) & F.col("kind").isin("prose", "list")).select("id", "n_words", "seed")
+    seeded = F.coalesce(F.col("label") == F.col("seed"), F.lit(False))
     share = (F.col("weight") / F.col("total")).alias("share")
-    return carried.join(total, "id").join(kept, "id").where((F.col("total") >= TOPICAL * F.col("n_words")) & (F.col("weight") >= SHARE * F.col("total"))).select(F.col("id").alias("doc_id"), F.col("label").alias("domain"), share)
+    return carried.join(total, "id").join(kept, "id").where(seeded | (F.col("total") >= TOPICAL * F.col("n_words")) & (F.col("weight") >= SHARE * F.col("total"))).select(F.col("id").alias("doc_id"), F.col("label").alias("domain"), share)
 
 
 def composition(labelled: DataFrame) -> DataFrame:

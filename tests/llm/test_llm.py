@@ -443,6 +443,8 @@ def test_mix(spark):
     share = {r["source"]: r["actual_share"] for r in mixing.shares(sizes, targets).collect()}
     assert abs(share["a"] - 0.5 / 0.9) < 0.05 and abs(share["b"] - 0.3 / 0.9) < 0.05 and share["none"] == 0 and "z" not in share
     assert sorted(map(tuple, copies)) == sorted(map(tuple, mixing.mixed(sizes.repartition(3), targets).collect()))
+    twice = mixing.sized(docs(spark, [(1, "a", "uno dos"), (1, "b", "tres"), (1, None, None)], "doc_id long, source string, text string")).collect()
+    assert [(r["doc_id"], r["source"], r["n_tokens"]) for r in twice] == [(1, "a", sum(len(tokens.encoder()(x)) for x in ("uno dos", "tres")))]
     assert mixing.mixed(mixing.sized(docs(spark, [], "doc_id long, source string, text string")), targets).count() == 0
 
 
