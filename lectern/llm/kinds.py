@@ -73,12 +73,18 @@ def _cells(s: str) -> int:
     return 1
 
 
+def _middle(s: str) -> int:
+    """Length of the piece without blanks in the middle of a line; one that takes more than half of it stands there."""
+    c = len(s) // 2
+    return (s.find(" ", c) % (len(s) + 1)) - s.rfind(" ", 0, c) - 1
+
+
 def line_kind(s: str, words: list[str], letters: int, common: int) -> int:
     """Of one stripped line: 0 prose, 1 list, 2 table, 3 junk, 4 like an unmarked short item, 5 menu."""
     menu = 0 if MENU.isdisjoint(words) else sum(map(MENU.__contains__, words))
     if (
         len(words) > 9 and common > 0.12 * len(words) and letters > 0.7 * len(s) and menu < 4 and s[-1] in ".?!»”" and s[0] != "|" and "  " not in s and "\t" not in s and " | " not in s and ("," not in s or ", " in s)
-        and (";" not in s or "; " in s) and (letters > 0.75 * len(s) or not _LOG.search(s)) and not _HEX.match(s) and len(max(s.split(" "), key=len)) < 32
+        and (";" not in s or "; " in s) and (letters > 0.75 * len(s) or not _LOG.search(s)) and not _HEX.match(s) and _middle(s) < 32
     ):
         return 0  # what most lines are: no test below can come to anything else
     if _HEX.match(s) or _LOG.search(s) and letters < 0.75 * len(s):

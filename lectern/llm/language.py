@@ -189,14 +189,12 @@ class Model:
         strong = clear & (margin >= STRONG)
         out, at = [], 0
         for text, k in zip(texts, counts):
-            for i in np.flatnonzero(strong[at : at + k]) + at:
-                strong[i] = _WHOLE.search(text, max(spans[i][0], spans[i][1] - 20), spans[i][1]) is not None
-            out.append(self._joined(spans[at : at + k], lang[at : at + k], margin[at : at + k], n[at : at + k], clear[at : at + k], strong[at : at + k], score[at : at + k]))
+            out.append(self._joined(text, spans[at : at + k], lang[at : at + k], margin[at : at + k], n[at : at + k], clear[at : at + k], strong[at : at + k], score[at : at + k]))
             at += k
         return out
 
     @staticmethod
-    def _joined(spans, lang, margin, n, clear, strong, score):
+    def _joined(text, spans, lang, margin, n, clear, strong, score):
         if not len(n) or not n.any():
             return []
         if not clear.any():  # the text as a whole decides
@@ -206,10 +204,11 @@ class Model:
         first = int(np.argmax(clear))
         if (lang[clear] == lang[first]).all():  # most texts
             m = float((margin * n)[clear].sum() / n[clear].sum())
-            return [(0, spans[-1][1], int(lang[first]), m, int(n.sum()), int(n[strong].sum()))]
+            return [(0, spans[-1][1], int(lang[first]), m, int(n.sum()), int(n[strong].sum()))]  # one language, no other to count words for
         out, last = [], int(lang[first])
         for (a, b), k, m, w, c, s in zip(spans, lang.tolist(), margin.tolist(), n.tolist(), clear.tolist(), strong.tolist()):
             last = k if c else last
+            s = s and _WHOLE.search(text, max(a, b - 20), b) is not None
             if out and out[-1][2] == last:
                 p = out[-1]
                 out[-1] = (p[0], b, last, (p[3] * p[4] + m * w) / max(1, p[4] + w) if c else p[3], p[4] + w, p[5] + w * s)
