@@ -79,6 +79,10 @@ def unseen(files: DataFrame, registry: DataFrame, hash_col: str = "file_hash") -
 # --- passages of scanned columns ------------------------------------------------------------
 
 
+#: Figure labels within prose; ends of sentences that a capital follows; sizes of halves of a word.
+FIGURE_INSIDE = r"(?iu)[a-záéíóúñü]{0,8}(?:FIGURA|CUADRO|TABLA|FIGURE)\s+\d+[^\n.]*"
+SENTENCE_CUT = r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚ])"
+HALF_LEAST, HALF_MOST, LONG_FIRST, LONG_SECOND = 2, 7, 6, 5
 _NOT_LETTER = re.compile(r"[^a-záéíóúñüA-ZÁÉÍÓÚÑÜ]")
 
 
@@ -86,10 +90,10 @@ def mend_breaks(text: str, stop: frozenset, standalone: frozenset) -> str:
     """Joins neighbours that look like halves of one word, from the left, each word once."""
     ws = text.split()
     bare = [_NOT_LETTER.sub("", w) for w in ws]
-    half = [2 <= len(b) <= 7 and b[0].islower() and b.lower() not in stop and b.lower() not in standalone for b in bare]
+    half = [HALF_LEAST <= len(b) <= HALF_MOST and b[0].islower() and b.lower() not in stop and b.lower() not in standalone for b in bare]
     out, i = [], 0
     while i < len(ws):
-        if i + 1 < len(ws) and half[i] and half[i + 1] and not (len(bare[i]) >= 6 and len(bare[i + 1]) >= 5):
+        if i + 1 < len(ws) and half[i] and half[i + 1] and not (len(bare[i]) >= LONG_FIRST and len(bare[i + 1]) >= LONG_SECOND):
             out.append(ws[i] + ws[i + 1])
             i += 2
         else:
@@ -111,14 +115,25 @@ def mended(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
+def flat_cleaned(df: DataFrame, id_col: str, text_col: str = "text", least_words: int = 15, tool: bool = False) -> DataFrame:
+    """(id, text): the text on one line without figure labels, columns mended, bad sentences dropped; '' if fewer than ``least_words`` are left."""
+    from lectern.functions.text import squeezed, words
+    from lectern.operators.quality import bad_sentence
+
+    flat = df.select(id_col, F.regexp_replace(squeezed(F.coalesce(text_col, F.lit(""))), FIGURE_INSIDE, "").alias("text"))
+    good = F.array_join(F.transform(F.filter(F.split("text", SENTENCE_CUT), lambda s: ~bad_sentence(F.trim(s), tool)), F.trim), " ")
+    kept = mended(flat, id_col).select(id_col, good.alias("text"))
+    return kept.select(id_col, F.when(F.size(words("text")) < least_words, "").otherwise(F.col("text")).alias("text"))
+
+
 def clean_passages(df: DataFrame, id_col: str, text_col: str = "text", most_words: int = 120, least_words: int = 15) -> DataFrame:
     """(id, text): bad sentences dropped, the rest cut to ``most_words`` at a sentence end past the middle; '' if fewer than ``least_words`` are left."""
     from lectern.functions.text import squeezed, words
     from lectern.operators.quality import bad_sentence
 
-    flat = df.select(id_col, F.regexp_replace(squeezed(F.coalesce(text_col, F.lit(""))), r"(?iu)[a-záéíóúñü]{0,8}(?:FIGURA|CUADRO|TABLA|FIGURE)\s+\d+[^\n.]*", "").alias("text"))
+    flat = df.select(id_col, F.regexp_replace(squeezed(F.coalesce(text_col, F.lit(""))), FIGURE_INSIDE, "").alias("text"))
     m = mended(flat, id_col)
-    good = F.array_join(F.filter(F.split("text", r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚ])"), lambda s: ~bad_sentence(F.trim(s))), " ")
+    good = F.array_join(F.filter(F.split("text", SENTENCE_CUT), lambda s: ~bad_sentence(F.trim(s))), " ")
     kept = m.select(id_col, good.alias("good")).withColumn("ws", words("good"))
     cut = F.array_join(F.slice("ws", 1, most_words), " ")
     at = lambda mark: F.locate(mark, F.reverse(F.col("cut")))

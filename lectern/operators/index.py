@@ -9,6 +9,7 @@ terms are joined by value, so a hot term is split by adaptive skew handling like
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,10 @@ from lectern.functions.text import content_terms, tokens
 from lectern.session import materialize
 
 
+#: Changes with what a build does, so that older snapshots are not read.
+VERSION = 1
+
+
 def capped_passages(passages: DataFrame, most: int) -> DataFrame:
     """The first ``most`` passages by source and id: a sort that keeps only as many rows per task."""
     return passages.orderBy(F.col("source").asc_nulls_last(), "pid").limit(most)
@@ -68,24 +73,65 @@ class Index:
         return self.passages.groupBy("domain").agg(F.count("*").alias("n_passages"))
 
 
-def build(passages: DataFrame, tier: str | None = None, stopwords: list[str] | None = None) -> Index:
-    """All tables, each written once.  ``tier`` sets the caps on passages and postings; None sets none."""
-    caps = lex.TIERS[tier] if tier else None
-    rows = capped_passages(passages, caps[0]) if caps else passages
-    rows = rows.groupBy("pid").agg(F.min_by(F.struct("domain", "source", "title", "text", "page"), F.coalesce("text", F.lit(""))).alias("r")).select("pid", "r.*")
-    rows = materialize(rows, "passages")
-    tf = materialize(term_frequencies(rows, stopwords=stopwords), "tf")
+def _one_per_pid(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("pid").agg(F.min_by(F.struct("domain", "source", "title", "text", "page"), F.coalesce("text", F.lit(""))).alias("r")).select("pid", "r.*")
+
+
+def _weighted(rows: DataFrame, tf: DataFrame, most: int | None = None) -> Index:
+    """The index of passages and their term frequencies: everything that depends on the whole collection."""
     dl = materialize(lengths(rows, tf), "dl")
     size = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = max(1, size["n"]), size["avgdl"] or 1.0
     df = document_frequencies(tf)
     terms = materialize(df.select("term", "df", idf(F.lit(float(n)), F.col("df")).alias("idf")), "idf")
     postings = tf.join(dl, "pid").join(terms, "term").select("term", "pid", "tf", "dl", bm25(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(float(avgdl))).alias("w"))
-    if caps:
-        postings = capped_postings(postings, caps[1])
+    if most is not None:
+        postings = capped_postings(postings, most)
     return Index(rows, materialize(postings, "postings"), terms, n, avgdl)
 
 
+def build(passages: DataFrame, tier: str | None = None, stopwords: list[str] | None = None) -> Index:
+    """All tables, each written once.  ``tier`` sets the caps on passages and postings; None sets none."""
+    caps = lex.TIERS[tier] if tier else (None, None)
+    rows = materialize(_one_per_pid(capped_passages(passages, caps[0]) if tier else passages), "passages")
+    return _weighted(rows, materialize(term_frequencies(rows, stopwords=stopwords), "tf"), caps[1])
+
+
+def updated(index: Index, fresh: DataFrame, removed: DataFrame | None = None, stopwords: list[str] | None = None) -> Index:
+    """The index after passages came, changed (a pid that is indexed already) or went (``removed``: pid): the same as a new build over
+    what is left.  Only the texts of ``fresh`` are read; frequencies of the others come from their postings, so the index must have no cap."""
+    fresh = materialize(_one_per_pid(fresh.select("pid", "domain", "source", "title", "text", "page").where("pid is not null")), "fresh")
+    gone = fresh.select("pid") if removed is None else fresh.select("pid").union(removed.select("pid")).distinct()
+    rows = materialize(index.passages.join(gone, "pid", "left_anti").select(*fresh.columns).union(fresh), "passages")
+    kept = index.postings.select("pid", "term", "tf").join(gone, "pid", "left_anti")
+    return _weighted(rows, materialize(kept.union(term_frequencies(fresh, stopwords=stopwords)), "tf"))
+
+
+def files_signature(files: DataFrame) -> str:
+    """One string for the files a table is stored in: their paths, sizes and times of change."""
+    spark = files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marks = []
+    for name in sorted(files.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        marks.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(marks).encode()).hexdigest()
+
+
+def cached(passages: DataFrame, path: str, tier: str | None = None, of: DataFrame | None = None) -> Index:
+    """The index of a stored table: loaded from below ``path`` if one was built from the same files, else built and saved there.
+
+    ``of`` is the table as it was read, where ``passages`` is made of it."""
+    mark = files_signature(passages if of is None else of)
+    place = f"{path}/{mark[:24]}-{tier or 'all'}"
+    spark = passages.sparkSession
+    if (found := load(spark, place, VERSION, tier, mark)) is None:
+        save(build(passages, tier), place, VERSION, tier, mark)
+        found = load(spark, place, VERSION, tier, mark)
+    return found
+
+
 def stats(index: Index) -> DataFrame:
     passages = index.passages.agg(F.count("*").alias("passages"), F.countDistinct("domain").alias("domains"))
     return passages.crossJoin(F.broadcast(index.idf.agg(F.count("*").alias("terms"))))

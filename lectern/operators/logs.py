@@ -62,3 +62,31 @@ def gaps(log: DataFrame, most: int = 200) -> DataFrame:
 def tier(cores: Column, ram_gb: Column) -> Column:
     """Size class of a machine."""
     return F.when((ram_gb < 2) | (cores <= 2), "low").when((ram_gb < 8) | (cores <= 4), "medium").otherwise("high")
+
+
+def suggestions(log: DataFrame, recent: int = 50, unknown: float = 0.3, topics: int = 3) -> DataFrame:
+    """(kind, share, n, topics): what the last ``recent`` questions say: 'usage' if more than ``unknown`` of them found no answer, 'knowledge' with the latest topics that found nothing."""
+    once = distinct_usage(log)
+    last = tail(once, recent, F.desc("logged_at"), F.desc("usage_id"))
+    usage = last.agg(F.round(F.avg((F.coalesce("mode", F.lit("unknown")) == "unknown").cast("double")), 4).alias("share"), F.count("*").alias("n")).where(F.col("share") > unknown)
+    lost = tail(once.where((F.coalesce("score", F.lit(0.0)) <= 0.06) & F.col("text").isNotNull()).select("usage_id", "ts", "text"), topics, F.desc("ts"), F.desc("usage_id"))
+    named = lost.agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "usage_id", "text"))), lambda x: x["text"]), "; ").alias("topics")).where("n > 0")
+    return usage.select(F.lit("usage").alias("kind"), "share", "n", F.lit("").alias("topics")).union(named.select(F.lit("knowledge"), F.lit(None).cast("double"), "n", "topics"))
+
+
+#: Passages that a GB of memory holds; aimed at latency in milliseconds.
+PASSAGES_A_GB, LATENCY = 30_000, 80.0
+
+
+def advice(machines: DataFrame, passages: int, log: DataFrame | None = None) -> DataFrame:
+    """(machine, priority, note): what each machine (machine, cores, ram_gb, free_gb) lacks for a collection of so many passages, most urgent first."""
+    need = passages / PASSAGES_A_GB
+    notes = [
+        (1, "memory", F.col("free_gb") < 0.5), (2, "capacity", F.col("ram_gb") < need), (3, "cores", F.col("cores") <= 2), (4, "headroom", (F.col("ram_gb") >= need) & (F.col("ram_gb") < 1.5 * need)),
+    ]
+    if log is not None:
+        slow = distinct_usage(log).where("latency_ms >= 0").agg(F.avg("latency_ms").alias("latency"))
+        machines = machines.crossJoin(F.broadcast(slow))
+        notes.append((2, "latency", F.col("latency") > LATENCY))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(p).alias("priority"), F.lit(n).alias("note"))) for p, n, cond in notes]))
+    return machines.select("machine", F.explode(F.sort_array(found)).alias("x")).select("machine", "x.priority", "x.note")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,21 +65,29 @@ def language(text: Column | str, vocabulary: dict[str, list[str]] | None = None)
 def resolved_languages(turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text", history: int = 6) -> DataFrame:
     """(session, order, resolved): decisive turns keep their language, others take the commonest of the last ``history`` resolved ones (the last one on a tie).
 
-    A fold over the turns of a session; repeated turns count once (the least text)."""
+    Sessions are sorted by the engine and read as a stream that remembers ``history`` turns; repeated turns count once (the least text)."""
     once = turns.groupBy(session, order).agg(F.min(text).alias(text)).select(session, order, *language(text))
-    row = F.struct(order, "lang", "score_es", "score_en")
-    lists = once.groupBy(session).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.slice(acc, F.greatest(F.size(acc) - (history - 1), F.lit(1)), history)
-        en = F.size(F.filter(last, lambda x: x["resolved"] == "en"))
-        es = F.size(last) - en
-        decisive = (t["score_es"] + t["score_en"] >= 2) & (F.abs(t["score_es"] - t["score_en"]) >= 2)
-        pick = F.when(decisive | (F.size(acc) == 0), t["lang"]).when(en > es, "en").when(es > en, "es").otherwise(F.try_element_at(acc, F.lit(-1))["resolved"])
-        return F.concat(acc, F.array(F.struct(t[order].alias(order), pick.alias("resolved"))))
-
-    zero = F.transform(F.filter("turns", lambda x: F.lit(False)), lambda x: F.struct(x[order].alias(order), x["lang"].alias("resolved")))
-    return lists.select(session, F.explode(F.aggregate("turns", zero, step)).alias("t")).select(session, F.col(f"t.{order}").alias(order), F.col("t.resolved").alias("resolved"))
+    def run(batches):
+        current, last, begun = None, deque(maxlen=history), False
+        for p in batches:
+            out = []
+            for s, es, en, own in zip(p[session], p["score_es"], p["score_en"], p["lang"]):
+                s = None if pd.isna(s) else s
+                if not begun or s != current:
+                    current, begun = s, True
+                    last.clear()
+                n_en = sum(x == "en" for x in last)
+                if not last or es + en >= 2 and abs(es - en) >= 2:
+                    to = own
+                else:
+                    to = "en" if 2 * n_en > len(last) else "es" if 2 * n_en < len(last) else last[-1]
+                last.append(to)
+                out.append(to)
+            yield p[[session, order]].assign(resolved=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in once.schema.fields}
+    return once.repartition(session).sortWithinPartitions(session, order).mapInPandas(run, f"{session} {kinds[session]}, {order} {kinds[order]}, resolved string")
 
 
 def intents(texts: DataFrame, examples: DataFrame, least: float = 0.2, id_col: str = "id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -99,10 +109,18 @@ def learned_words(texts: DataFrame, known: dict[str, list[str]] | None = None, t
     return pairs.join(F.broadcast(texts.sparkSession.createDataFrame(rows, "lang string, term string")), ["lang", "term"], "left_anti")
 
 
-def rotation(log: DataFrame, key: str = "intent", order: list[str] | None = None, responses: int = 3) -> DataFrame:
-    """Adds which of ``responses`` replies is due: they take turns per key and language."""
-    w = Window.partitionBy(key, "lang").orderBy(*(order or ["ts", "usage_id"]))
-    return log.withColumn("response", ((F.row_number().over(w) - 1) % responses).cast("int"))
+def rotation(log: DataFrame, key: str = "intent", ts: str = "ts", ident: str = "usage_id", responses: int = 3) -> DataFrame:
+    """Adds which of ``responses`` replies is due: they take turns per key and language, in order of time and id.
+
+    Rows are counted per hour and numbered within the hour, so a key that holds most rows is no single task."""
+    hour = F.coalesce(F.date_trunc("hour", F.col(ts)).cast("string"), F.lit(""))
+    rows = log.withColumn("_hour", hour)
+    per = rows.groupBy(key, "lang", "_hour").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key, "lang").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col(key).alias("_key"), F.col("lang").alias("_lang"), F.col("_hour").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    both = rows.join(per, rows[key].eqNullSafe(per["_key"]) & rows["lang"].eqNullSafe(per["_lang"]) & (rows["_hour"] == per["_of"]))
+    place = F.row_number().over(Window.partitionBy(key, "lang", "_hour").orderBy(ts, ident))
+    return both.withColumn("response", ((F.col("_before") + place - 1) % responses).cast("int")).drop("_hour", "_key", "_lang", "_of", "_before")
 
 
 def is_question(text: Column | str) -> Column:

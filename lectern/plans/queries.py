@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern import lexicons as lex
 from lectern.functions import text as tx
-from lectern.operators import changes, chunking, cleaning, codes, index, logs, nlu, quality, retrieval
+from lectern.operators import changes, chunking, cleaning, codes, index, knowledge, logs, nlu, quality, retrieval
 from lectern.plans import sql as s
-from lectern.session import materialize, spread, table
+from lectern.session import materialize, shared_dir, spread, table
 from lectern.sources import corpus, formats, sinks
 from lectern.streaming import windows
 
@@ -86,12 +86,73 @@ WITH l AS ({_lines()}), k AS (SELECT *, {s.strip("line")} AS st FROM l), c AS (S
 SELECT d.doc_id, coalesce((SELECT string_agg(k.line, chr(10) ORDER BY k.pos) FROM k WHERE k.doc_id = d.doc_id AND NOT list_contains({s.strings(lex.WATERMARKS)}, lower(k.st)) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = k.doc_id AND c.st = k.st)), '') AS cleaned FROM documents d WHERE text IS NOT NULL"""
 
 
-@query()
+def _whole(aggressive: bool) -> str:
+    """The composition as one chain of tables s0 (doc_id, text), s1, ..."""
+    n, ctes = 0, ["s0 AS (SELECT doc_id, nfc_normalize(replace(text, chr(0), '')) AS text FROM documents WHERE text IS NOT NULL)"]
+
+    def scalar(e):
+        nonlocal n
+        ctes.append(f"s{n + 1} AS MATERIALIZED (SELECT doc_id, {e} AS text FROM s{n})")
+        n += 1
+
+    def lines(name):
+        return f"{name}{n} AS (SELECT doc_id, unnest(string_split(text, {s.NL})) AS line, generate_subscripts(string_split(text, {s.NL}), 1) AS pos FROM s{n})"
+
+    def joined(of, keep, order="pos", out="line"):
+        """Kept lines put together again, texts without any as ''."""
+        nonlocal n
+        ctes.append(f"s{n + 1} AS MATERIALIZED (SELECT s.doc_id, coalesce(j.text, '') AS text FROM s{n} s LEFT JOIN (SELECT doc_id, string_agg({out}, chr(10) ORDER BY {order}) AS text FROM {of} WHERE {keep} GROUP BY doc_id) j USING (doc_id))")
+        n += 1
+
+    scalar(s.pdf_artifacts("text"))
+    if aggressive:
+        i = n
+        ctes.append(lines("l"))
+        ctes.append(f"f{i} AS (SELECT *, len({_CELLS}) >= 3 AND NOT starts_with({s.strip('line')}, '#') AS hit, {_CELLS} AS cells FROM l{i})")
+        ctes.append(f"g{i} AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM f{i})")
+        ctes.append(f"n{i} AS (SELECT doc_id, pos, CASE WHEN hit AND sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, grp) >= 2 THEN array_to_string(cells, ' | ') ELSE line END AS line FROM g{i})")
+        joined(f"n{i}", "TRUE")
+        i = n
+        parts = [s.strip(f"regexp_extract({_RS}, '^(.+?[^\\s]) {{3,}}([^\\s].+)', {k})") for k in (1, 2)]
+        ctes.append(lines("l"))
+        ctes.append(f"f{i} AS (SELECT *, regexp_matches({_RS}, '^.+?[^\\s] {{3,}}[^\\s].*') AND {parts[1]} <> '' AS hit, {parts[0]} AS lft, {parts[1]} AS rgt FROM l{i})")
+        ctes.append(f"g{i} AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM f{i})")
+        ctes.append(f"n{i} AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, grp) AS size FROM g{i})")
+        ctes.append(f"o{i} AS (SELECT doc_id, pos, line FROM n{i} WHERE NOT (hit AND size >= 4) UNION ALL SELECT doc_id, min(pos), string_agg(lft, ' ' ORDER BY pos) || chr(10) || string_agg(rgt, ' ' ORDER BY pos) FROM n{i} WHERE hit AND size >= 4 GROUP BY doc_id, grp)")
+        joined(f"o{i}", "TRUE")
+    for step in (s.entities, s.control, s.whitespace):
+        scalar(step("text"))
+    i, st = n, s.strip("line")
+    ctes.append(lines("l"))
+    ctes.append(f"k{i} AS (SELECT *, lower({st}) AS key, starts_with({st}, '#') AS head, {st} <> '' AND NOT starts_with({st}, '#') AND len({s.words('line')}) <= 10 AS short FROM l{i})")
+    ctes.append(f"c{i} AS (SELECT doc_id, key, TRUE AS gone FROM k{i} WHERE short GROUP BY doc_id, key HAVING count(*) >= 3)")
+    joined(f"k{i} LEFT JOIN c{i} USING (doc_id, key)", "head OR gone IS NULL")
+    i = n
+    ctes.append(lines("l"))
+    ctes.append(f"k{i} AS (SELECT *, {st} AS st FROM l{i})")
+    ctes.append(f"c{i} AS (SELECT doc_id, st, TRUE AS gone FROM k{i} WHERE upper(st) = st AND lower(st) <> st AND length(st) >= 3 AND len({s.words('st')}) = 1 GROUP BY doc_id, st HAVING count(*) >= 3)")
+    joined(f"k{i} LEFT JOIN c{i} USING (doc_id, st)", f"gone IS NULL AND NOT list_contains({s.strings(lex.WATERMARKS)}, lower(st))")
+    scalar(s.short_lines("text", 4 if aggressive else 2))
+    i = n
+    ctes.append(f"p{i} AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{{2,}}')) AS para, generate_subscripts(regexp_split_to_array(text, '\\n{{2,}}'), 1) AS pos FROM s{i})")
+    ctes.append(f"k{i} AS (SELECT doc_id, para, pos, {s.squeezed('lower(para)')} AS key FROM p{i})")
+    ctes.append(f"r{i} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS rn FROM k{i})")
+    ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT s.doc_id, coalesce(j.text, '') AS text FROM s{i} s LEFT JOIN (SELECT doc_id, string_agg(para, chr(10) || chr(10) ORDER BY pos) AS text FROM r{i} WHERE rn = 1 OR len(string_split(key, ' ')) < 6 GROUP BY doc_id) j USING (doc_id))")
+    n += 1
+    scalar(s.punctuation("text"))
+    scalar(s.strip(s.sub(s.sub("text", " {2,}", " "), "\n{3,}", "\n\n")))
+    return "WITH " + ",\n".join(ctes) + f",\nwhole AS (SELECT doc_id, text AS cleaned FROM s{n})"
+
+
+_CLEAN, _CLEAN_AGGRESSIVE = _whole(False), _whole(True)
+
+
+@query(f"{_CLEAN} SELECT * FROM whole")
 def c00_clean(spark, d):
     return cleaning.cleaned(documents(spark, d)).select("doc_id", "cleaned")
 
 
-@query()
+@query(f"{_CLEAN_AGGRESSIVE} SELECT * FROM whole")
 def c00_clean_aggressive(spark, d):
     return cleaning.cleaned(documents(spark, d), aggressive=True).select("doc_id", "cleaned")
 
@@ -114,7 +175,9 @@ def c14_running_headers(spark, d):
     return cleaning.running_headers(table(spark, d, "scan_pages"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT DISTINCT doc_id, page, text FROM scan_pages WHERE text IS NOT NULL), l AS (SELECT doc_id, page, unnest(list_distinct(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: {s.squeezed("x")}))) AS line FROM o),
+g AS (SELECT doc_id, list(line) AS gone FROM (SELECT doc_id, line FROM (SELECT DISTINCT * FROM l) WHERE line <> '' AND len(string_split(line, ' ')) <= 12 GROUP BY doc_id, line HAVING count(*) >= 3) GROUP BY doc_id)
+SELECT doc_id, page, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, {s.squeezed("x")})), chr(10)) END AS text FROM o LEFT JOIN g USING (doc_id)""")
 def c14_pages_without_headers(spark, d):
     return cleaning.without_running_headers(table(spark, d, "scan_pages").where("text is not null"))
 
@@ -257,7 +320,9 @@ idf AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, sz)
 
 
 def built(spark: SparkSession, d: str, tier: str | None = None) -> index.Index:
-    return index.build(spread(table(spark, d, "passages")), tier)
+    """The index of the passages, built once for the same files and loaded from then on."""
+    stored = table(spark, d, "passages")
+    return index.cached(spread(stored), f"{shared_dir(spark)}/lectern/index", tier, of=stored)
 
 
 @query("SELECT pid, source FROM passages ORDER BY source NULLS LAST, pid LIMIT 600")
@@ -306,7 +371,7 @@ def i09_stats(spark, d):
     return index.stats(built(spark, d))
 
 
-@query()
+@query(f"WITH {_IDX.replace('FROM passages)', 'FROM passages ORDER BY source NULLS LAST, pid LIMIT 600)')}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY w DESC, pid) AS rn FROM post) SELECT term, pid, tf, CAST(dl AS BIGINT) AS dl, w FROM r WHERE rn <= 40")
 def i10_tier_build(spark, d):
     return built(spark, d, "low").postings
 
@@ -384,7 +449,7 @@ def q09_history(spark, d):
     return logs.history_blocks(table(spark, d, "conversations"))
 
 
-@query()
+@query(f"""WITH {_HITS} SELECT qid, string_agg(coalesce(source, '') || coalesce(', página ' || page, '') || ' (' || printf('%.2f', CAST(round(CAST(score AS DECIMAL(6, 4)), 2) AS DOUBLE)) || ')', '; ' ORDER BY rank) AS sources FROM hits WHERE rank <= 5 GROUP BY qid""")
 def q10_sources(spark, d):
     return retrieval.source_lists(found(spark, d)[2])
 

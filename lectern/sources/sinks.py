@@ -47,3 +47,25 @@ def registered(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c != "file_hash"]
     pick = F.min_by(F.struct(*rest), F.struct("registered_at", "doc_id"))
     return rows.where("file_hash is not null").groupBy("file_hash").agg(pick.alias("r")).select("file_hash", "r.*")
+
+
+def appended(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """Adds rows to a log kept as a table; ``by`` is a column its files are divided by, so that readers of few values read few files."""
+    writer = rows.write.mode("append")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def kept_last(log: DataFrame, most: int, order: str, per: str | None = None) -> DataFrame:
+    """What a log keeps: the last ``most`` rows (10 turns of a session, 200 gaps, 200 actions), of each value of ``per`` where one is given.
+
+    Rows of equal order are kept by the hash of the whole row, so the choice doesn't depend on the partitioning."""
+    tie = F.xxhash64(*log.columns)
+    if per is None:
+        return log.orderBy(F.desc(order), tie).limit(most)
+    w = Window.partitionBy(per).orderBy(F.desc(order), tie)
+    return log.withColumn("_age", F.row_number().over(w)).where(F.col("_age") <= most).drop("_age")
+
+
+def merged_terms(learned: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(lang, term): a learned vocabulary and what was learned since."""
+    return learned.select("lang", "term").union(fresh.select("lang", "term")).where("lang is not null and term is not null").distinct()
