@@ -283,7 +283,16 @@ def t08_word_counts(spark, d):
 # --- chunks and imports -----------------------------------------------------------------------------
 
 
-@query()
+_SPLIT = f"string_split(regexp_replace(text, {s.q('([.!?])' + tx.WS + '+')}, '\\1' || chr(1), 'g'), chr(1))"
+_STOP = lambda start, least: f"coalesce((list_filter(range(greatest({least}, {start} + 1), n), lambda j: ps[j + 2] - ps[{start} + 1] > 300))[1], n)"
+_CHUNKS = f"""e AS (SELECT doc_id, unnest({_SPLIT}) AS sent, generate_subscripts({_SPLIT}, 1) AS pos FROM documents WHERE text IS NOT NULL), z AS (SELECT *, len({s.words("sent")}) AS size FROM e),
+q AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM z), d AS (SELECT doc_id, count(*) AS n, list(sent ORDER BY pos) AS sents, list_prepend(0, list(CAST(upto AS BIGINT) ORDER BY pos)) AS ps FROM q GROUP BY doc_id),
+r(doc_id, piece, start, stop) AS (SELECT doc_id, 0, CAST(0 AS BIGINT), CAST({_STOP("0", "0")} AS BIGINT) FROM d UNION ALL
+SELECT doc_id, piece + 1, again, CAST({_STOP("again", "stop + 1")} AS BIGINT) FROM (SELECT r.doc_id, piece, stop, n, ps, (list_filter(range(start, stop), lambda k: k = stop - 1 OR ps[stop + 1] - ps[k + 1] <= 50))[1] AS again FROM r JOIN d USING (doc_id) WHERE stop < n)),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk, {s.strip("array_to_string(sents[start + 1:stop], ' ')")} AS text FROM r JOIN d USING (doc_id) WHERE ps[stop + 1] - ps[start + 1] > 10)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, text FROM chunks")
 def h01_chunks(spark, d):
     return chunking.chunks(documents(spark, d), ["doc_id"])
 
@@ -293,22 +302,14 @@ def h02_paged_chunks(spark, d):
     return chunking.paged_chunks(table(spark, d, "scan_pages").where("text is not null"))
 
 
-@query()
-def h03_imported(spark, d):
-    docs = table(spark, d, "documents")
-    files = docs.join(table(spark, d, "imports").groupBy("doc_id").agg(F.min("filename").alias("filename")), "doc_id", "left").select("doc_id", "filename", "text")
-    scores = nlu.keyword_scores(docs.where("text is not null"), table(spark, d, "subject_areas"))
-    return chunking.imported(files, table(spark, d, "imports").where("registered_at < timestamp'2024-01-05'"), nlu.best_domains(scores, docs))
-
-
 @query("SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE text IS NOT NULL")
 def h04_hashes(spark, d):
     return documents(spark, d).select("doc_id", F.sha2("text", 256).alias("file_hash"))
 
 
-@query("SELECT DISTINCT file_hash FROM imports a WHERE registered_at >= TIMESTAMP '2024-01-15' AND file_hash NOT IN (SELECT file_hash FROM imports WHERE registered_at < TIMESTAMP '2024-01-15')")
+@query("SELECT DISTINCT file_hash FROM imports a WHERE registered_at >= TIMESTAMP '2024-01-02' AND file_hash NOT IN (SELECT file_hash FROM imports WHERE registered_at < TIMESTAMP '2024-01-02')")
 def h05_unseen(spark, d):
-    rows, split = table(spark, d, "imports"), F.lit("2024-01-15").cast("timestamp")
+    rows, split = table(spark, d, "imports"), F.lit("2024-01-02").cast("timestamp")
     return chunking.unseen(rows.where(F.col("registered_at") >= split), rows.where(F.col("registered_at") < split)).select("file_hash")
 
 
@@ -413,7 +414,16 @@ def q04_domains(spark, d):
     return retrieval.classify_domains(retrieval.query_terms(benchmark(spark, d), synonyms(spark)), built(spark, d))
 
 
-@query()
+_BARE = "length(regexp_replace(w, '[^\\pL\\pN_]', '', 'g'))"
+_PROSE = f"""ws AS (SELECT *, {s.words("coalesce(text, '')")} AS ws FROM hits), wn AS (SELECT *, greatest(len(ws), 1) AS wn, length(text) - length(replace(text, ',', '')) AS commas, len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contains({s.strings(lex.FIGURE_LABELS.split("|"))}, upper(w)))) AS figs FROM ws),
+pq AS (SELECT *, round(CASE WHEN len(ws) < 5 THEN 0 WHEN len(list_filter(ws, lambda w: regexp_full_match(w, '[\\d,.\\-]+'))) / wn > 0.20 THEN 0 WHEN commas / wn > 0.30 THEN 0.03 ELSE greatest(0, least(1, len(list_filter(ws, lambda w: {_BARE} >= 5)) / wn - len(list_filter(ws, lambda w: {_BARE} <= 2)) / wn * 0.4 - least(figs / wn * 4, 0.35))) END, 6) AS quality FROM wn),
+ok AS (SELECT qid, pid, score, coalesce(source, '') AS src, list_distinct({s.tokens("coalesce(text, '')")}) AS tk, row_number() OVER (PARTITION BY qid ORDER BY round(score * greatest(quality, 0.05), 6) DESC, pid) AS place FROM pq),
+s1 AS (SELECT * FROM ok WHERE score >= 0.06 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY place) = 1),
+s2 AS (SELECT ok.qid, ok.pid FROM ok JOIN s1 ON s1.qid = ok.qid AND ok.place > s1.place AND ok.score >= 0.32 AND ok.src <> s1.src
+AND (CASE WHEN len(ok.tk) > 0 AND len(s1.tk) > 0 THEN len(list_intersect(ok.tk, s1.tk)) / (len(ok.tk) + len(s1.tk) - len(list_intersect(ok.tk, s1.tk))) ELSE 0 END) <= 0.55 QUALIFY row_number() OVER (PARTITION BY ok.qid ORDER BY ok.place) = 1)"""
+
+
+@query(f"WITH {_HITS}, {_PROSE} SELECT qid, CAST(1 AS INTEGER) AS section, pid FROM s1 UNION ALL SELECT qid, CAST(2 AS INTEGER), pid FROM s2")
 def q05_sections(spark, d):
     return retrieval.sections(found(spark, d)[2], quality.prose_quality("text"))
 
@@ -464,15 +474,20 @@ def a01_answers(spark, d):
     return retrieval.answered(benchmark(spark, d), built(spark, d), synonyms(spark))
 
 
-@query(f"WITH {_HITS}, b AS (SELECT qid, score, raw_score FROM hits WHERE rank = 1) SELECT qid, 'defend' AS stance FROM b")
+_PREV = "pr AS (SELECT qid, pid, round(sum(w * n), 6) AS raw FROM (SELECT qid, term, count(*) AS n FROM (SELECT qid, unnest(base) AS term FROM own) GROUP BY qid, term) JOIN post USING (term) GROUP BY qid, pid), pk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, pid) AS rank, max(raw) OVER (PARTITION BY qid) AS best FROM pr)"
+
+
+@query(f"""WITH {_HITS}, {_PREV}, pv AS (SELECT qid, round(raw / best, 4) AS score, round(raw, 4) AS raw_score FROM pk WHERE rank = 5), ag AS (SELECT qid, max(raw_score) AS best, max(score) AS support FROM hits GROUP BY qid)
+SELECT qid, CASE WHEN ag.best > 1.15 * pv.raw_score THEN 'correct' WHEN pv.score >= 0.18 AND support >= 0.12 THEN 'defend' ELSE 'concede' END AS stance FROM pv LEFT JOIN ag USING (qid)""")
 def a04_debate(spark, d):
-    hits = found(spark, d)[2]
-    return retrieval.debate(hits.where("rank = 1").select("qid", "score", "raw_score"), hits)
+    """The answer under attack is the fifth hit of a search for the question's own terms; the search again knows synonyms."""
+    idx, _, hits = found(spark, d)
+    before = retrieval.search(retrieval.query_terms(benchmark(spark, d)), idx, 5)
+    return retrieval.debate(before.where("rank = 5").select("qid", "score", "raw_score"), hits)
 
 
 # --- quality ----------------------------------------------------------------------------------------
 
-_BARE = "length(regexp_replace(w, '[^\\pL\\pN_]', '', 'g'))"
 _QUAL = f"""WITH t AS (SELECT doc_id, text, {s.words("text")} AS ws FROM documents WHERE text IS NOT NULL),
 u AS (SELECT *, greatest(len(ws), 1) AS n, len(list_filter(ws, lambda w: {_BARE} >= 5)) AS lng, len(list_filter(ws, lambda w: {_BARE} <= 2)) AS sht, length(text) - length(replace(text, ',', '')) AS commas,
 len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contains({s.strings(lex.FIGURE_LABELS.split("|"))}, upper(w)))) AS figs, length(regexp_replace(text, '[^\\pL]', '', 'g')) AS letters FROM t)"""
@@ -549,6 +564,20 @@ def n02_best_domains(spark, d):
     return nlu.best_domains(_scores(spark, d), table(spark, d, "documents"))
 
 
+_IMPORTED = f"""{_CLEAN}, {_BEST}, fi AS (SELECT d.doc_id, text, sha256(coalesce(text, '')) AS file_hash, filename FROM documents d LEFT JOIN (SELECT doc_id, min(filename) AS filename FROM imports GROUP BY doc_id) USING (doc_id)),
+fs AS (SELECT file_hash, min(doc_id) AS first FROM fi GROUP BY file_hash), im AS (SELECT fi.doc_id, file_hash, filename, CAST(coalesce(length(cleaned), 0) AS INTEGER) AS text_length, first,
+file_hash IN (SELECT file_hash FROM imports WHERE registered_at < TIMESTAMP '2024-01-02' AND file_hash IS NOT NULL) AS known, CASE WHEN r.score >= 2 THEN r.domain ELSE 'general' END AS dom FROM fi JOIN fs USING (file_hash) LEFT JOIN whole USING (doc_id) LEFT JOIN r ON r.doc_id = fi.doc_id AND rank = 1),
+imported AS (SELECT doc_id, file_hash, filename, text_length, dom, CASE WHEN known OR doc_id <> first THEN 'duplicate' WHEN text_length < 50 THEN 'empty_or_unreadable' ELSE 'imported' END AS status FROM im)"""
+
+
+@query(f"{_IMPORTED} SELECT doc_id, file_hash, filename, status, CASE WHEN status = 'imported' THEN dom END AS domain, text_length FROM imported")
+def h03_imported(spark, d):
+    docs = table(spark, d, "documents")
+    files = docs.join(table(spark, d, "imports").groupBy("doc_id").agg(F.min("filename").alias("filename")), "doc_id", "left").select("doc_id", "filename", "text")
+    scores = nlu.keyword_scores(docs.where("text is not null"), table(spark, d, "subject_areas"))
+    return chunking.imported(files, table(spark, d, "imports").where("registered_at < timestamp'2024-01-02'"), nlu.best_domains(scores, docs))
+
+
 @query(f"""WITH {_BEST}, nm AS (SELECT doc_id, regexp_replace(lower(strip_accents(regexp_replace(filename, '\\.[A-Za-z0-9]+$', ''))), '[^a-z0-9]+', '_', 'g') AS a FROM imports), nn AS (SELECT doc_id, min(regexp_replace(left(regexp_replace(a, '^_+|_+$', '', 'g'), 50), '_+$', '')) AS named FROM nm GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN r.score >= 2 THEN r.domain WHEN coalesce(named, '') IN ('', 'general', 'untitled', 'documento', 'document') THEN 'general' ELSE named END AS domain FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND rank = 1 LEFT JOIN nn ON nn.doc_id = d.doc_id""")
 def n03_domains_or_new(spark, d):
@@ -569,7 +598,11 @@ def n06_languages(spark, d):
     return documents(spark, d).select("doc_id", *nlu.language("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn), {_LANG(f'SELECT conv_id, turn, list_distinct({s.tokens("coalesce(text, chr(32))")}) AS tk FROM o')},
+k AS (SELECT conv_id, turn, score_es, score_en, CASE WHEN score_en > score_es THEN 'en' ELSE 'es' END AS own, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM l),
+r(conv_id, turn, rn, resolved, last) AS (SELECT conv_id, turn, rn, own, [own] FROM k WHERE rn = 1 UNION ALL
+SELECT conv_id, turn, rn, pick, list_append(last, pick)[-6:] FROM (SELECT k.conv_id, k.turn, k.rn, last, CASE WHEN score_es + score_en >= 2 AND abs(score_es - score_en) >= 2 THEN own WHEN 2 * len(list_filter(last, lambda x: x = 'en')) > len(last) THEN 'en' WHEN 2 * len(list_filter(last, lambda x: x = 'en')) < len(last) THEN 'es' ELSE last[-1] END AS pick
+FROM r JOIN k ON k.conv_id = r.conv_id AND k.rn = r.rn + 1)) SELECT conv_id, turn, resolved FROM r""")
 def n07_resolved_languages(spark, d):
     return nlu.resolved_languages(table(spark, d, "conversations"))
 
@@ -616,7 +649,12 @@ def n12_followups(spark, d):
     return nlu.in_context(table(spark, d, "conversations")).select("conv_id", "turn", "is_followup")
 
 
-@query()
+_ACT = " ".join(f"WHEN {s.q(k)} THEN {s.strings(v)}" for k, v in lex.table(lex.ACTION_SYNONYMS).items())
+
+
+@query(f"""WITH o AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS first, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM o), c AS (SELECT *, coalesce(text, '') AS t FROM b),
+f AS (SELECT *, ({_ANY(_NORM("t"), [m for m in lex.FOLLOWUP if " " in m])} OR list_has_any({s.tokens("t")}, {s.strings([m for m in lex.FOLLOWUP if " " not in m])}) OR len({_CONT("t")}) = 0 OR (NOT first AND len(list_filter({_CONT("t")}, lambda c: NOT list_contains({s.strings(lex.ACTION_VERBS)}, c))) = 0)) AS is_followup FROM c)
+SELECT conv_id, turn, trim(CASE WHEN is_followup AND NOT first THEN array_to_string(list_concat(({_CONT("before")})[1:6], (flatten(list_transform({_CONT("t")}, lambda c: CASE c {_ACT} ELSE [] END)))[1:4]), ' ') || ' ' || t ELSE t END) AS query FROM f""")
 def n13_in_context(spark, d):
     return nlu.in_context(table(spark, d, "conversations")).select("conv_id", "turn", "query")
 
@@ -634,7 +672,12 @@ def a14_code_notes(spark, d):
     return codes.analyzed(table(spark, d, "documents"), "doc_id", "text").select("id", "language", "ok", "n_lines", "n_blank", F.size("notes").alias("n_notes"))
 
 
-@query()
+_CODE_OF = lambda x: "(" + " + ".join(f"CAST(regexp_matches({x}, {s.q(p)}) AS INTEGER)" for p in lex.CODE_PATTERNS) + f") >= 2 AND (contains(trim({x}), chr(10)) OR length({x}) > 60)"
+
+
+@query(f"""WITH told AS ({SQL["n08_intents"]}), {_ONCE}, j AS (SELECT usage_id, coalesce(text, '') AS t, told.intent AS told, coalesce(told.score, 0) AS told_score, coalesce(once.score, 0) AS known FROM once LEFT JOIN told ON told.id = usage_id)
+SELECT usage_id, CASE WHEN {_ANY(_NORM("t"), lex.CHALLENGE)} THEN 'debate' WHEN {_ANY(_NORM("t"), lex.EXPLAIN)} THEN 'explain' WHEN ({_CODE_OF("t")}) OR contains(t, '```') THEN 'code' WHEN told IS NOT NULL AND told_score >= 0.5 THEN 'smalltalk'
+WHEN known > 0 THEN 'knowledge' WHEN told IS NOT NULL AND len(regexp_split_to_array(trim(t), '\\s+')) <= 3 THEN 'smalltalk' ELSE 'unknown' END AS route FROM j""")
 def a20_routes(spark, d):
     log = logs.distinct_usage(table(spark, d, "usage_log"))
     told = nlu.intents(log.where("text is not null"), _examples(spark, d), id_col="usage_id").withColumnsRenamed({"id": "usage_id", "intent": "told", "score": "told_score"})
@@ -675,17 +718,98 @@ def s18_usage_tail(spark, d):
     return logs.tail(logs.distinct_usage(table(spark, d, "usage_log")), 500, F.desc("logged_at"), F.desc("usage_id")).select("usage_id", "logged_at", "text")
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 7 < 1 OR label <= 2 THEN 'low' WHEN vec_id % 7 < 4 OR label <= 4 THEN 'medium' ELSE 'high' END AS tier FROM (SELECT vec_id, label, vec_id % 7 * 2 AS x FROM embeddings)")
+_MACHINES = "SELECT 32 * c + r AS machine, c AS cores, r AS ram_gb FROM range(1, 17) c(c), range(0, 32) r(r)"
+
+
+def _machines(spark):
+    m = spark.range(32, 17 * 32).select(F.col("id").alias("machine"), F.floor(F.col("id") / 32).alias("cores"), (F.col("id") % 32).alias("ram_gb"))
+    return m.withColumn("free_gb", F.col("ram_gb") / 4)
+
+
+@query(f"SELECT machine, CASE WHEN ram_gb < 2 OR cores <= 2 THEN 'low' WHEN ram_gb < 8 OR cores <= 4 THEN 'medium' ELSE 'high' END AS tier FROM ({_MACHINES})")
 def a11_tiers(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", logs.tier(F.col("label"), (F.col("vec_id") % 7) * 2).alias("tier"))
+    """Every size of machine up to 16 cores and 31 GB."""
+    return _machines(spark).select("machine", logs.tier(F.col("cores"), F.col("ram_gb")).alias("tier"))
+
+
+@query(f"""WITH {_ONCE}, m AS ({_MACHINES}), n AS (SELECT count(*) / 30000.0 AS need FROM passages), l AS (SELECT avg(latency_ms) AS latency FROM once WHERE latency_ms >= 0)
+SELECT machine, x.p AS priority, x.n AS note FROM (SELECT machine, unnest(list_filter([{{'p': 1, 'n': CASE WHEN ram_gb / 4 < 0.5 THEN 'memory' END}}, {{'p': 2, 'n': CASE WHEN ram_gb < need THEN 'capacity' END}}, {{'p': 2, 'n': CASE WHEN latency > 80 THEN 'latency' END}},
+{{'p': 3, 'n': CASE WHEN cores <= 2 THEN 'cores' END}}, {{'p': 4, 'n': CASE WHEN ram_gb >= need AND ram_gb < 1.5 * need THEN 'headroom' END}}], lambda e: e.n IS NOT NULL)) AS x FROM m, n, l)""")
+def a11_advice(spark, d):
+    return logs.advice(_machines(spark), table(spark, d, "passages").count(), table(spark, d, "usage_log"))
+
+
+@query(f"""WITH {_ONCE}, la AS (SELECT * FROM once ORDER BY logged_at DESC, usage_id DESC LIMIT 50), u AS (SELECT round(avg(CASE WHEN coalesce(mode, 'unknown') = 'unknown' THEN 1.0 ELSE 0.0 END), 4) AS share, count(*) AS n FROM la),
+g AS (SELECT ts, usage_id, text FROM once WHERE coalesce(score, 0) <= 0.06 AND text IS NOT NULL ORDER BY ts DESC, usage_id DESC LIMIT 3)
+SELECT 'usage' AS kind, share, n, '' AS topics FROM u WHERE share > 0.1 UNION ALL SELECT 'knowledge', NULL, count(*), string_agg(text, '; ' ORDER BY ts, usage_id) FROM g HAVING count(*) > 0""")
+def a10_suggestions(spark, d):
+    """With a limit of 0.1 on the share of questions without an answer."""
+    return logs.suggestions(table(spark, d, "usage_log"), unknown=0.1)
+
+
+@query(f"WITH {_IDX} SELECT term, pid, tf, CAST(dl AS BIGINT) AS dl, w FROM post")
+def w06_incremental(spark, d):
+    """An index of the passages with a page, to which the others come."""
+    rows = table(spark, d, "passages")
+    return index.updated(index.build(rows.where("page is not null")), rows.where("page is null")).postings
+
+
+@query(f"WITH {_IDX.replace('FROM passages)', 'FROM passages WHERE domain IS NOT NULL)')} SELECT term, pid, tf, CAST(dl AS BIGINT) AS dl, w FROM post")
+def w06_removed(spark, d):
+    """The index of all passages, from which those without a domain go."""
+    return index.updated(built(spark, d), table(spark, d, "passages").limit(0), table(spark, d, "passages").where("domain is null").select("pid")).postings
+
+
+_FILES = "SELECT CASE WHEN source IS NULL THEN CAST(doc_id AS VARCHAR) ELSE source || '/' || doc_id END || '.md' AS path, text FROM documents"
+
+
+def _files(spark, d):
+    return spread(table(spark, d, "documents")).select(F.concat(F.coalesce(F.concat("source", F.lit("/")), F.lit("")), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+@query(f"""WITH f AS ({_FILES}), w AS (SELECT path, coalesce(len(regexp_extract_all(text, '[\\pL\\pN_]+')), 0) AS words, contains(path, '/') AS inside FROM f), a AS (SELECT CASE WHEN inside AND words = 0 THEN 'empty' WHEN inside AND words < 80 THEN 'thin' WHEN NOT inside AND words >= 30 THEN 'orphan' END AS action, path, words FROM w)
+SELECT * FROM a WHERE action IS NOT NULL UNION ALL SELECT DISTINCT 'stub', source || '/00-introduccion.md', 0 FROM mix_targets WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)""")
+def a13_looked_over(spark, d):
+    return knowledge.looked_over(_files(spark, d), table(spark, d, "mix_targets").select(F.col("source").alias("domain")))
+
+
+@query("SELECT DISTINCT source AS domain FROM documents WHERE source IS NOT NULL")
+def n05_categories(spark, d):
+    return knowledge.categories(_files(spark, d))
 
 
-@query("""WITH b AS (SELECT filename AS path, max(file_hash || coalesce(chunk_count, -1)) AS b FROM imports WHERE registered_at < TIMESTAMP '2024-01-15' GROUP BY 1), a AS (SELECT filename AS path, max(file_hash || coalesce(chunk_count, -1)) AS a FROM imports WHERE registered_at >= TIMESTAMP '2024-01-10' GROUP BY 1)
+@query("""WITH o AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '.md' AS path, text, title, domain FROM documents WHERE domain IS NOT NULL AND trim(domain) <> '')
+SELECT path, coalesce(text, '') || chr(10) || chr(10) || '## ' || CASE WHEN trim(title) <> '' THEN title ELSE 'Ampliación ' || (len(regexp_extract_all(coalesce(text, ''), '(?m)^##[\t-\r ]')) + 1) END || chr(10) || chr(10) || trim(domain) || chr(10) AS text FROM o""")
+def k05_enriched(spark, d):
+    """To each document with a domain that name is added, as a section of the document's title."""
+    docs = spread(table(spark, d, "documents")).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return knowledge.enriched(docs.select(F.col("doc_id").alias("id"), "path", F.col("title").alias("section"), F.col("domain").alias("text")), docs.select("path", "text"))
+
+
+@query()
+def k03_ingested(spark, d):
+    """Where each document would go in the collection of the passages."""
+    docs, files = spread(table(spark, d, "documents")), table(spark, d, "passages").select(F.col("source").alias("path")).distinct()
+    return knowledge.ingested(docs.select("doc_id", "text", "title", F.lit(None).cast("string").alias("domain")), built(spark, d), files, synonyms(spark))
+
+
+@query()
+def c17_cleaned_files(spark, d):
+    return knowledge.cleaned_files(_files(spark, d))
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY conv_id, turn)) WHERE age <= 10")
+def k08_kept_turns(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    return sinks.kept_last(rows, 10, "turn", "conv_id")
+
+
+@query("""WITH b AS (SELECT category AS path, max(file_hash || coalesce(chunk_count, -1)) AS b FROM imports WHERE registered_at < TIMESTAMP '2024-01-02 12:00:00' GROUP BY 1), a AS (SELECT category AS path, max(file_hash || coalesce(chunk_count, -1)) AS a FROM imports WHERE registered_at >= TIMESTAMP '2024-01-02' GROUP BY 1)
 SELECT path, CASE WHEN b IS NULL THEN 'new' WHEN a IS NULL THEN 'deleted' WHEN a <> b THEN 'modified' END AS change FROM a FULL OUTER JOIN b USING (path) WHERE path IS NOT NULL AND (b IS NULL OR a IS NULL OR a <> b)""")
 def w02_changes(spark, d):
-    rows = table(spark, d, "imports").where("filename is not null").select(F.col("filename").alias("path"), F.concat("file_hash", F.coalesce("chunk_count", F.lit(-1)).cast("string")).alias("mark"), "registered_at")
-    return changes.changes(rows.where("registered_at < timestamp'2024-01-15'"), rows.where("registered_at >= timestamp'2024-01-10'"), signature=("mark",))
+    """Categories as paths: what the imports of two overlapping times leave in them."""
+    rows = table(spark, d, "imports").where("category is not null").select(F.col("category").alias("path"), F.concat("file_hash", F.coalesce("chunk_count", F.lit(-1)).cast("string")).alias("mark"), "registered_at")
+    return changes.changes(rows.where("registered_at < timestamp'2024-01-02 12:00:00'"), rows.where("registered_at >= timestamp'2024-01-02'"), signature=("mark",))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -714,19 +838,26 @@ def k07_registry(spark, d):
     return sinks.registered(table(spark, d, "imports")).select("file_hash", "doc_id", "filename", "registered_at")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS}, m AS (SELECT doc_id, min(filename) AS filename, min(category) AS domain FROM imports GROUP BY doc_id), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM chunks)
+SELECT doc_id, string_agg('## Fragmento ' || (chunk + 1) || chr(10) || chr(10) || '<!-- fuente:' || coalesce(filename, '') || ' | categoria:' || coalesce(domain, 'general') || ' | frag:' || (chunk + 1) || '/' || k || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk) AS content
+FROM c LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
 def k02_markdown(spark, d):
     pieces = chunking.chunks(documents(spark, d), ["doc_id"])
     named = table(spark, d, "imports").groupBy("doc_id").agg(F.min("filename").alias("filename"), F.min("category").alias("domain"))
     return sinks.markdown(pieces.join(named, "doc_id", "left").withColumn("page", F.lit(None).cast("int")))
 
 
-@query()
+_FIRST = "trim(string_split(trim(b), chr(10))[1])"
+
+
+@query(f"""WITH t AS (SELECT doc_id, trim(text) AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '\\n[\\t-\\r ]*\\n'), lambda b: trim(b) <> '') AS bs FROM t)
+SELECT doc_id, CASE WHEN contains(t, '##') OR contains(t, '# ') THEN t ELSE array_to_string(list_transform(bs, lambda b, i: CASE WHEN length({_FIRST}) < 80 AND NOT ends_with({_FIRST}, '.') AND contains(trim(b), chr(10)) AND len(bs) > 1
+THEN '## ' || {_FIRST} || chr(10) || chr(10) || trim(regexp_replace(trim(b), '\\A[^\\n]*\\n', '')) ELSE '## Sección ' || i || chr(10) || chr(10) || trim(b) END), chr(10) || chr(10)) END AS markdown FROM b""")
 def k04_formatted(spark, d):
     return documents(spark, d).select("doc_id", sinks.formatted("text").alias("markdown"))
 
 
-@query()
+@query(f"{_IMPORTED} SELECT status, count(*) AS n, CAST(sum(text_length) AS BIGINT) AS chars FROM imported GROUP BY status")
 def k09_import_report(spark, d):
     return sinks.import_report(h03_imported(spark, d))
 
@@ -747,6 +878,15 @@ def s04_html_text(spark, d):
     return documents(spark, d).select("doc_id", formats.html_text("text").alias("text"))
 
 
+@query("SELECT n_regionkey, 'Columnas: n_nationkey | n_name | n_comment' || chr(10) || string_agg('n_nationkey: ' || n_nationkey || '. n_name: ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+def s14_csv_prose(spark, d):
+    """A CSV file for each region, quoted, with an empty column and an empty row."""
+    row = F.concat(F.col("n_nationkey").cast("string"), F.lit(';"'), F.col("n_name"), F.lit('";'))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"])
+    files = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("n_nationkey;n_name;n_comment\n;;\n"), F.array_join(rows, "\r\n")).alias("csv"))
+    return files.select("n_regionkey", formats.csv_prose(F.col("csv")).alias("text"))
+
+
 @query("SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || '. n_name: ' || n_name AS text FROM nation")
 def s14_records_prose(spark, d):
     n = table(spark, d, "nation")
