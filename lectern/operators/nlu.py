@@ -125,7 +125,7 @@ def rotation(log: DataFrame, key: str = "intent", ts: str = "ts", ident: str = "
 
 def is_question(text: Column | str) -> Column:
     t, n = F.coalesce(col(text), F.lit("")), normalized(F.coalesce(col(text), F.lit("")))
-    phrases = [p for _, ps in lex.REWRITES for p in ps.split("|")]
+    phrases = [p for _, ps in lex.REWRITES for p in ps]
     return t.contains("?") | t.contains("¿") | F.coalesce(F.get(tokens(t), F.lit(0)).isin(*lex.QUESTION_STARTS), F.lit(False)) | contains_any(n, phrases)
 
 

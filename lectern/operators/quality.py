@@ -9,7 +9,7 @@ from lectern import lexicons as lex
 from lectern.functions.text import WS, col, let, word_count, words
 
 _bare = lambda w: F.length(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
-FIGURE = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{lex.FIGURE_LABELS})(?![\p{{L}}\p{{N}}_])"
+FIGURE = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{"|".join(lex.FIGURE_LABELS)})(?![\p{{L}}\p{{N}}_])"
 
 
 def prose_quality(text: Column | str, tool: bool = False) -> Column:
@@ -46,11 +46,11 @@ def bad_sentence(sentence: Column | str, tool: bool = False) -> Column:
     ws = words(s)
     n = F.size(ws)
     share = lambda p: F.size(F.filter(ws, p)) / F.greatest(n, F.lit(1))
-    bad = (n < (4 if tool else 5)) | s.rlike("(?i)" + (lex.INSTRUMENTS_TOOL if tool else lex.INSTRUMENTS)) | s.rlike(rf"^{WS}*(?:II|III|IV|VI|VII|VIII|IX|XI|XII)(?![\p{{L}}\p{{N}}_])")
+    bad = (n < (4 if tool else 5)) | s.rlike("(?i)" + (lex.INSTRUMENTS_TOOL if tool else lex.INSTRUMENTS)) | s.rlike(rf"^{WS}*(?:{'|'.join(lex.NUMERALS)})(?![\p{{L}}\p{{N}}_])")
     bad = bad | s.rlike(rf"^{WS}*\d+[.)]{WS}") | s.rlike(rf"\.{WS}+\d+[.)]") | (share(lambda w: w.rlike(r"\d")) > 0.30)
     bad = bad | ((n >= 7) & (share(lambda w: w.rlike(r"^\p{Lu}")) > 0.45)) | (sentence_quality(s) < (0.28 if tool else 0.30))
     if tool:
-        bad = bad | s.rlike(rf"(?i)^(?:DR\.|DRA\.|DR{WS}|DRA{WS}|PROF\.|LIC\.|ING\.){WS}+[A-Z]")
+        bad = bad | s.rlike(rf"(?i)^(?:{'|'.join(lex.TITLES).replace(' ', WS)}){WS}+[A-Z]")
     return bad
 
 

@@ -415,7 +415,7 @@ def q04_domains(spark, d):
 
 
 _BARE = "length(regexp_replace(w, '[^\\pL\\pN_]', '', 'g'))"
-_PROSE = f"""ws AS (SELECT *, {s.words("coalesce(text, '')")} AS ws FROM hits), wn AS (SELECT *, greatest(len(ws), 1) AS wn, length(text) - length(replace(text, ',', '')) AS commas, len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contains({s.strings(lex.FIGURE_LABELS.split("|"))}, upper(w)))) AS figs FROM ws),
+_PROSE = f"""ws AS (SELECT *, {s.words("coalesce(text, '')")} AS ws FROM hits), wn AS (SELECT *, greatest(len(ws), 1) AS wn, length(text) - length(replace(text, ',', '')) AS commas, len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contains({s.strings(lex.FIGURE_LABELS)}, upper(w)))) AS figs FROM ws),
 pq AS (SELECT *, round(CASE WHEN len(ws) < 5 THEN 0 WHEN len(list_filter(ws, lambda w: regexp_full_match(w, '[\\d,.\\-]+'))) / wn > 0.20 THEN 0 WHEN commas / wn > 0.30 THEN 0.03 ELSE greatest(0, least(1, len(list_filter(ws, lambda w: {_BARE} >= 5)) / wn - len(list_filter(ws, lambda w: {_BARE} <= 2)) / wn * 0.4 - least(figs / wn * 4, 0.35))) END, 6) AS quality FROM wn),
 ok AS (SELECT qid, pid, score, coalesce(source, '') AS src, list_distinct({s.tokens("coalesce(text, '')")}) AS tk, row_number() OVER (PARTITION BY qid ORDER BY round(score * greatest(quality, 0.05), 6) DESC, pid) AS place FROM pq),
 s1 AS (SELECT * FROM ok WHERE score >= 0.06 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY place) = 1),
@@ -430,7 +430,7 @@ def q05_sections(spark, d):
 
 _NORM = lambda x: f"array_to_string({s.tokens(x)}, ' ')"
 _ANY = lambda x, ps: f"len(list_filter({s.strings(ps)}, lambda m: contains({x}, m))) > 0"
-_PHRASES = [p for _, ps in lex.REWRITES for p in ps.split("|")]
+_PHRASES = [p for _, ps in lex.REWRITES for p in ps]
 _QUESTION = lambda x: f"(contains({x}, '?') OR contains({x}, '¿') OR coalesce(list_contains({s.strings(lex.QUESTION_STARTS)}, ({s.tokens(x)})[1]), FALSE) OR {_ANY(_NORM(x), _PHRASES)})"
 
 
@@ -490,7 +490,7 @@ def a04_debate(spark, d):
 
 _QUAL = f"""WITH t AS (SELECT doc_id, text, {s.words("text")} AS ws FROM documents WHERE text IS NOT NULL),
 u AS (SELECT *, greatest(len(ws), 1) AS n, len(list_filter(ws, lambda w: {_BARE} >= 5)) AS lng, len(list_filter(ws, lambda w: {_BARE} <= 2)) AS sht, length(text) - length(replace(text, ',', '')) AS commas,
-len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contains({s.strings(lex.FIGURE_LABELS.split("|"))}, upper(w)))) AS figs, length(regexp_replace(text, '[^\\pL]', '', 'g')) AS letters FROM t)"""
+len(list_filter(regexp_extract_all(text, '[\\pL\\pN_]+'), lambda w: list_contains({s.strings(lex.FIGURE_LABELS)}, upper(w)))) AS figs, length(regexp_replace(text, '[^\\pL]', '', 'g')) AS letters FROM t)"""
 
 
 @query(_QUAL + """ SELECT doc_id, round(CASE WHEN len(ws) < 5 THEN 0 WHEN len(list_filter(ws, lambda w: regexp_full_match(w, '[\\d,.\\-]+'))) / n > 0.20 THEN 0 WHEN commas / n > 0.30 THEN 0.03 ELSE greatest(0, least(1, lng / n - sht / n * 0.4 - least(figs / n * 4, 0.35))) END, 6) AS quality FROM u""")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lectern import lexicons as lex
 from lectern.functions import text as tx
-from lectern.operators import changes, chunking, cleaning, codes, index, logs, nlu, quality, retrieval
-from lectern.sources import corpus, formats, sinks
+from lectern.operators import changes, chunking, cleaning, codes, index, knowledge, logs, nlu, quality, retrieval
+from lectern.sources import corpus, formats, loaders, sinks
 from lectern.streaming import imports, windows
 
 
@@ -218,6 +218,114 @@ def test_import_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_import_stream_keeps_the_index(spark, tmp_path):
+    src = tmp_path / "in" / "fisica"
+    src.mkdir(parents=True)
+    body = "La energía {} del sistema se conserva con bastantes palabras para llegar al mínimo de once en total. " * 3
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    for i in range(2):
+        (src / f"{i}.txt").write_text(body.replace("{}", f"palabra{i}"))
+        imports.import_stream(*args, index_path=f"file://{tmp_path}/index").awaitTermination()
+    last = max(int(p.name) for p in (tmp_path / "index").iterdir())
+    got = index.load(spark, f"file://{tmp_path}/index/{last}", index.VERSION, None, str(last))
+    assert got.n == 2 and got.passages.count() == 2 and {r["domain"] for r in got.passages.collect()} != set()
+    whole = index.build(got.passages)
+    assert sorted(map(tuple, got.postings.collect())) == sorted(map(tuple, whole.postings.collect()))
+
+
+PASSAGES = [(1, "fisica", "fisica/01-a.md", "t", "energía energía campo", 1), (2, "fisica", "fisica/02-b.md", "t", "campo onda", None), (3, "bio", "bio/a.md", "t", "célula núcleo", None), (4, None, None, None, None, None)]
+
+
+def _stored(spark, rows):
+    return spark.createDataFrame(rows, "pid long, domain string, source string, title string, text string, page int")
+
+
+def test_index_cached_and_updated(spark, tmp_path):
+    _stored(spark, PASSAGES).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    one = index.cached(stored, f"file://{tmp_path}/i")
+    before = sorted(p.name for p in (tmp_path / "i").iterdir())
+    again = index.cached(stored, f"file://{tmp_path}/i")
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == before and one.n == again.n == 4
+    fresh = [(2, "fisica", "s", "t", "onda nueva", None), (5, "bio", "s", "t", "célula", None), (5, "bio", "s", "t", "célula", None)]
+    got = index.updated(again, _stored(spark, fresh), spark.createDataFrame([(3,), (99,)], "pid long"))
+    want = index.build(_stored(spark, [PASSAGES[0], PASSAGES[3], *fresh]))
+    assert sorted(map(tuple, got.postings.collect())) == sorted(map(tuple, want.postings.collect())) and (got.n, got.avgdl) == (want.n, want.avgdl)
+    none = index.updated(index.build(_stored(spark, [])), _stored(spark, []))
+    assert none.postings.count() == 0
+
+
+def test_added_files(spark):
+    idx = index.build(_stored(spark, PASSAGES))
+    texts = spark.createDataFrame([(1, "# La energía\n\ny el campo", None, None), (2, "campo de energía", "Otro", None), (3, "zanahoria", None, None), (4, "x", "T", "Mi Tema"), (5, "  ", None, None), (6, None, None, None)], "doc_id long, text string, title string, domain string")
+    files = spark.createDataFrame([("fisica/01-a.md",), ("fisica/07-b.md",), (None,)], "path string")
+    got = {r["doc_id"]: (r["title"], r["domain"], r["is_new_domain"], r["path"]) for r in knowledge.ingested(texts, idx, files).collect()}
+    assert got == {1: ("La energía", "fisica", False, "fisica/08-la-energia.md"), 2: ("Otro", "fisica", False, "fisica/09-otro.md"), 3: ("zanahoria", "zanahoria", True, "zanahoria/01-zanahoria.md"), 4: ("T", "mi-tema", False, "mi-tema/01-t.md")}
+    more = spark.createDataFrame([(1, "a.md", None, "uno"), (2, "a.md", "Dos", "dos "), (3, "none.md", "x", "y"), (4, "a.md", None, " ")], "id long, path string, section string, text string")
+    assert [tuple(r) for r in knowledge.enriched(more, spark.createDataFrame([("a.md", "# A\n\n## B\nx"), ("b.md", "y")], "path string, text string")).collect()] == [("a.md", "# A\n\n## B\nx\n\n## Ampliación 2\n\nuno\n\n\n## Dos\n\ndos\n")]
+    asked = spark.createDataFrame([(1, "energía", None, "x"), (2, "nada", None, "y")], "id long, query string, section string, text string")
+    assert [tuple(r) for r in knowledge.enrichment_targets(asked, idx).collect()] == [(1, "fisica/01-a.md", None, "x")]
+
+
+def test_looking_over_files(spark):
+    files = spark.createDataFrame([("a/x.md", "uno dos"), ("a/y.md", None), ("z.md", "energía campo " * 20), ("w.md", "corto"), (None, "x")], "path string, text string")
+    wanted = spark.createDataFrame([("a",), ("b",), (None,)], "domain string")
+    assert {tuple(r) for r in knowledge.looked_over(files, wanted).collect()} == {("thin", "a/x.md", 2), ("empty", "a/y.md", 0), ("orphan", "z.md", 40), ("stub", "b/00-introduccion.md", 0)}
+    assert {tuple(r) for r in knowledge.routed(files.where("path in ('z.md', 'w.md')"), index.build(_stored(spark, PASSAGES))).collect()} == {("z.md", "fisica/z.md"), ("w.md", "w/w.md")}
+    assert {r[0] for r in knowledge.categories(files, spark.createDataFrame([("Mi Tema",)], "name string")).collect()} == {"a", "mi_tema"}
+
+
+def test_cleaned_files_and_versions(spark):
+    good = "El sistema nervioso central coordina diversas funciones mediante impulsos eléctricos continuos entre distintas regiones cerebrales. " * 2
+    files = spark.createDataFrame([("a.md", f"# Título\n\ntres palabras solas\n\n{good}\n\n1 2 3 4 5 6 7 8 9"), ("b.md", None)], "path string, text string")
+    got = {r["path"]: r for r in knowledge.cleaned_files(files).collect()}
+    assert got["a.md"]["text"] == f"# Título\n\n{good.strip()}\n" and got["a.md"]["removed"] == 2 and "b.md" not in got
+    versions = spark.createDataFrame([("a", 1, "v1"), ("a", 2, "v2"), ("a", 3, "v3"), ("b", 1, "w")], "path string, saved_at int, text string")
+    assert [tuple(r) for r in knowledge.restored(versions, F.lit(2)).collect()] == [("a", "v2")]
+
+
+def test_loaders(spark, tmp_path):
+    (tmp_path / "stopwords_es.txt").write_text("que el\nla  que\n")
+    (tmp_path / "intents.json").write_text('{"saludo": {"examples": {"es": ["Hola tú", "hola tú"], "en": ["hi"]}, "responses": {}}, "x": {}}')
+    (tmp_path / "vocab.json").write_text('{"es": ["uno", "uno"], "en": []}')
+    (tmp_path / "registry.json").write_text('{"h1": {"filename": "a.pdf", "chunk_count": 3}, "h2": {}}')
+    (tmp_path / "config.json").write_text('{"top_k": 7}')
+    d = str(tmp_path)
+    assert {tuple(r) for r in loaders.stopwords(spark, d).collect()} == {("es", "que"), ("es", "el"), ("es", "la")}
+    found = loaders.intents(spark, f"{d}/intents.json")
+    assert {tuple(r) for r in loaders.vocabulary(found).collect()} == {("es", "hola"), ("es", "tu"), ("en", "hi")}
+    assert [tuple(r) for r in loaders.learned(spark, f"{d}/vocab.json").collect()] == [("es", "uno")]
+    assert {(r["file_hash"], r["filename"], r["chunk_count"]) for r in loaders.registry(spark, f"{d}/registry.json").collect()} == {("h1", "a.pdf", 3), ("h2", None, None)}
+    assert loaders.settings(spark, f"{d}/config.json", {"top_k": 5, "k1": 1.5}) == {"top_k": 7, "k1": 1.5} and loaders.settings(spark, f"{d}/none.json", {"a": 1}) == {"a": 1}
+    assert loaders.registry(spark, f"{d}/none.json").count() == loaders.intents(spark, f"{d}/none.json").count() == loaders.learned(spark, f"{d}/none.json").count() == 0
+    assert [tuple(r) for r in loaders.with_defaults(spark.createDataFrame([(1, None)], "a int, b string"), b="x").collect()] == [(1, "x")]
+
+
+def test_log_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("s", i, f"t{i}") for i in range(5)] + [("r", 1, "x")], "session string, turn int, text string")
+    for _ in range(2):
+        sinks.appended(rows, str(tmp_path / "log"), "session")
+    log = spark.read.parquet(str(tmp_path / "log")).select(*rows.columns)
+    assert log.count() == 12 and {(r["session"], r["turn"]) for r in sinks.kept_last(log.distinct(), 2, "turn", "session").collect()} == {("s", 4), ("s", 3), ("r", 1)}
+    assert [r["turn"] for r in sinks.kept_last(log, 3, "turn").orderBy("turn").collect()] == [3, 4, 4]
+    a, b = (spark.createDataFrame(x, "lang string, term string") for x in ([("es", "uno"), (None, "x")], [("es", "uno"), ("en", "one")]))
+    assert {tuple(r) for r in sinks.merged_terms(a, b).collect()} == {("es", "uno"), ("en", "one")}
+
+
+def test_explanations(spark):
+    idx = index.build(_stored(spark, [*PASSAGES, (9, "meta", "meta/a.md", "t", "el índice del sistema", None)]))
+    hits = retrieval.search(retrieval.query_terms(spark.createDataFrame([(1, "energía")], "qid long, text string")), idx)
+    got = {r["qid"]: (r["score"], r["label"], r["sources"]) for r in retrieval.explained(hits, spark.createDataFrame([(10, 1), (11, 5)], "qid long, previous long")).collect()}
+    assert got == {10: (1.0, "high", "fisica/01-a.md, página 1 (1.00)"), 11: (0.0, "low", "")}
+    told = {r["qid"]: (r["reply"], r["score"]) for r in retrieval.self_explained(spark.createDataFrame([(1, "¿Cómo buscas?"), (2, None)], "qid long, text string"), idx, {"buscas": "índice"}, "meta", "hechos").collect()}
+    assert told == {1: ("el índice del sistema\n\nhechos", 1.0), 2: ("hechos", 0.4)}
+
+
+def test_code_lines(spark):
+    assert codes.kind_of("El informe final; la clase return class import from print.") == "desconocido" and codes.kind_of("", "a/b.java") == "java"
+    assert codes.kind_of("public class A {\n  public static void main(String[] a) {}\n}") == "java" and codes.kind_of("#include <iostream>\nint main() { std::cout << 1; }") == "cpp"
+
+
 def test_stream_windows(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.write.parquet(str(tmp_path / "e"))
