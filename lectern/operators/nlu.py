@@ -139,7 +139,7 @@ def is_explain_request(text: Column | str) -> Column:
 
 def question_type(text: Column | str) -> Column:
     n = normalized(F.coalesce(col(text), F.lit("")))
-    return reduce(lambda x, r: x.when(contains_any(n, r[1].split("|")), F.lit(r[0])), lex.REWRITES[1:], F.when(contains_any(n, lex.REWRITES[0][1].split("|")), F.lit(lex.REWRITES[0][0])))
+    return reduce(lambda x, r: x.when(contains_any(n, r[1]), F.lit(r[0])), lex.REWRITES[1:], F.when(contains_any(n, lex.REWRITES[0][1]), F.lit(lex.REWRITES[0][0])))
 
 
 def core_topic(text: Column | str) -> Column:

@@ -632,7 +632,7 @@ def n10_rotation(spark, d):
     return nlu.rotation(logs.distinct_usage(table(spark, d, "usage_log"))).select("usage_id", "response")
 
 
-_TYPE = " ".join(f"WHEN {_ANY(_NORM('text'), ps.split('|'))} THEN {s.q(label)}" for label, ps in lex.REWRITES)
+_TYPE = " ".join(f"WHEN {_ANY(_NORM('text'), ps)} THEN {s.q(label)}" for label, ps in lex.REWRITES)
 
 
 @query(f"SELECT item_id, {_QUESTION('text')} AS question, {_ANY(_NORM('text'), lex.CHALLENGE)} AS challenge, {_ANY(_NORM('text'), lex.EXPLAIN)} AS explain, CASE {_TYPE} END AS kind FROM benchmark")
