@@ -17,6 +17,10 @@ each document, seeds included, has every subject with at least ``SHARE`` of
 the subject-bearing words, if these are at least ``TOPICAL`` of all words, so that
 several subjects or none may remain.
 
+Terms are 64-bit hashes of folded words.  The labels of the verified terms, up to ``TERMS`` of them, are sent to the tasks, and a
+round is one pass over the documents, which adds up its terms' labels before anything is shuffled; beyond that number a
+round is made of joins.  Both give the same labels.
+
 Null and empty texts, tables, junk and texts of fewer than 20 words have no row.  Without any
 seed nothing is labelled.  Ids are expected to be unique.
 """
@@ -26,16 +30,20 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kinds
-from lectern.llm.words import folded_words
+from lectern.llm.words import folded_words, word_hashes
 from lectern.session import materialize
 
 PURITY, LEAST_DOCS, SHARE, TOPICAL, ROUNDS = 0.6, 3, 0.25, 0.02, 50
 MOVED = 0.001
+#: Most verified terms that are broadcast (136 bytes each with 16 subjects).
+TERMS = 250_000
 #: English names of the subject codes.
 ENGLISH = {
     "medicine": "medicina", "programming": "programacion", "physics": "fisica", "chemistry": "quimica", "history": "historia", "biology": "biologia",
@@ -64,7 +72,7 @@ def _profile(codes: frozenset, keywords: dict[str, frozenset], names: dict[str,
                 if label and not (seen.get(label, 0) >= 2 and seen[label] > 0.6 * sum(seen.values())):
                     label = None
                 keep = [w for w in counts if len(w) > 2 and w not in _STOP and not w.isdigit()]
-                rows.append((label, kinds.votes(kinds.figures(text)), len(words), keep, [counts[w] for w in keep]))
+                rows.append((label, kinds.votes(kinds.figures(text)), len(words), word_hashes(keep).view(np.int64), [counts[w] for w in keep]))
             yield pd.DataFrame({"id": p["id"], **dict(zip(("seed", "votes", "n_words", "terms", "counts"), map(list, zip(*rows)) if rows else ([],) * 5))})
 
     return run
@@ -81,21 +89,119 @@ def profiles(df: DataFrame, subject_areas: DataFrame, id_col: str = "doc_id", te
             keywords.setdefault(w, set()).add(c)
     run = _profile(frozenset(c for c, _ in areas), {k: frozenset(v) for k, v in keywords.items()}, names)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("id is not null")
-    return materialize(texts.mapInPandas(run, "id long, seed string, votes string, n_words int, terms array<string>, counts array<int>"), "profiles")
-
-
-def _term_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(term, labels: array<struct<label, p>>) of the verified terms; labels: id, label, weight."""
-    prior = labels.groupBy("label").agg(F.sum("weight").alias("size"))
-    mass = labels.join(docs.select("id", "terms"), "id").select(F.explode("terms").alias("term"), "label", "weight")
-    mass = mass.groupBy("term", "label").agg(F.sum("weight").alias("mass"))
-    rated = mass.join(F.broadcast(prior), "label").withColumn("rate", F.col("mass") / F.col("size"))
-    per = rated.groupBy("term").agg(F.sum("mass").alias("n"), F.sum("rate").alias("all"), F.max("rate").alias("top"), F.collect_list(F.struct("label", "rate")).alias("rates"))
-    pure = per.where((F.col("n") >= LEAST_DOCS) & (F.col("top") >= PURITY * F.col("all")))
-    kept = F.filter("rates", lambda x: x["rate"] > 0.3 * F.col("all"))
+    return materialize(texts.mapInPandas(run, "id long, seed string, votes string, n_words int, terms array<long>, counts array<int>"), "profiles")
+
+
+def _pure(mass: DataFrame, sizes: dict[str, float]) -> DataFrame:
+    """(term, labels: array<struct<label, p>>) of the verified terms, from their masses (term, label, mass)."""
+    size = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(float(v)))])
+    rated = mass.withColumn("rate", F.round(F.col("mass") / size[F.col("label")], 12))
+    per = rated.groupBy("term").agg(F.round(F.sum("mass"), 4).alias("n"), F.round(F.sum("rate"), 10).alias("all"), F.max("rate").alias("top"), F.collect_list(F.struct("label", "rate")).alias("rates"))
+    pure = per.where((F.col("n") >= LEAST_DOCS) & (F.round(F.col("top") - PURITY * F.col("all"), 9) >= 0))
+    kept = F.filter("rates", lambda x: F.round(x["rate"] - 0.3 * F.col("all"), 9) > 0)
     return pure.select("term", F.transform(kept, lambda x: F.struct(x["label"].alias("label"), (x["rate"] / F.col("all")).alias("p"))).alias("labels"))
 
 
+class Labels:
+    """The labels of verified terms as a table to look up: sorted terms and a row of weights each."""
+
+    def __init__(self, terms: DataFrame, names: list[str]):
+        rows = terms.toArrow()
+        self.terms = rows.column("term").to_numpy()
+        self.weights = np.zeros((len(self.terms) + 1, len(names)), np.float64)  # the last row is for other terms
+        place = {n: i for i, n in enumerate(names)}
+        for i, labels in enumerate(rows.column("labels").to_pylist()):
+            for x in labels:
+                self.weights[i, place[x["label"]]] = x["p"]
+        order = np.argsort(self.terms, kind="stable")
+        self.terms, self.weights[:-1] = self.terms[order], self.weights[:-1][order]
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.zeros((len(terms), self.weights.shape[1]), np.float64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return self.weights[np.where(self.terms[at] == terms, at, len(self.terms))]
+
+
+def _held(b: pa.RecordBatch, *tables) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Terms of the documents of a batch one after the other, the document of each, and for each table the documents' label weights."""
+    lists = b.column("terms")
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat, n = lists.flatten().to_numpy(), b.column("counts").flatten().to_numpy().astype(np.float64)
+    doc = np.repeat(np.arange(b.num_rows), sizes)
+    unique, code = np.unique(flat, return_inverse=True)
+    out = []
+    for t in tables:
+        w = t.of(unique).astype(np.float64)
+        hit = np.flatnonzero(w.any(1)[code]) if len(unique) else np.empty(0, np.int64)
+        sums = np.zeros((b.num_rows, t.weights.shape[1]))
+        for j in range(sums.shape[1]):
+            sums[:, j] = np.bincount(doc[hit], n[hit] * w[code[hit], j], b.num_rows)
+        out.append(sums)
+    return unique, code, doc, out
+
+
+def _mass_batches(tables, names: list[str]):
+    """Partial masses of all terms as (term, label, mass), of a batch; as rows without a term: the labels' sizes, how far labels moved, documents
+    reached and newly reached.  ``tables``: broadcasts of the terms' labels before and now; both None for the first round, of seeds alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 10_000):
+                yield one(whole.slice(at, 10_000))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        used = [t.value for t in tables if t is not None]
+        unique, code, doc, weights = _held(b, *used)
+        place = {n: i for i, n in enumerate(names)}
+        seed = np.array([place.get(s, -1) for s in b.column("seed").to_pylist()], np.int64)
+        seeded = np.zeros((b.num_rows, len(names)))
+        seeded[np.flatnonzero(seed >= 0), seed[seed >= 0]] = 1
+        states = [seeded]
+        for w in weights:
+            total = w.sum(1, keepdims=True)
+            states.append(np.where(seed[:, None] >= 0, seeded, w / np.where(total > 0, total, 1)))
+        now, before = states[-1], states[-2] if len(states) > 1 else seeded
+        known, fresh = now.any(1), now.any(1) & ~before.any(1)
+        terms, labels, mass = [], [], []
+        has = np.flatnonzero(known[doc]) if len(doc) else np.empty(0, np.int64)
+        for j in np.flatnonzero(now.any(0)):
+            m = np.bincount(code[has], now[doc[has], j], len(unique))
+            at = np.flatnonzero(m)
+            terms.append(unique[at]), labels.append(np.full(len(at), j)), mass.append(m[at])
+        t, k, m = (np.concatenate(x) if x else np.empty(0) for x in (terms, labels, mass))
+        moved = float(np.abs(now - before)[known | before.any(1)].sum() / 2)
+        extra = [*now.sum(0), moved, float((known | before.any(1)).sum()), float(fresh.sum())]
+        kinds_ = [*names, "\1moved", "\1documents", "\1fresh"]
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(t.astype(np.int64)), pa.nulls(len(extra), pa.int64())]), pa.array([names[int(i)] for i in k] + kinds_, pa.string()), pa.array(np.concatenate([m.astype(np.float64), extra]))], ["term", "label", "mass"]
+        )
+
+    return run
+
+
+def _weight_batches(table, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            weights = _held(b, table.value)[3][0]
+            d, j = np.nonzero(weights)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(d)), pa.array([names[i] for i in j], pa.string()), pa.array(weights[d, j])], ["id", "label", "weight"])
+
+    return run
+
+
+def _joined_masses(docs: DataFrame, before: DataFrame | None, now: DataFrame) -> DataFrame:
+    """The same rows as of ``_mass_batches``, by joins; ``before`` and ``now``: (id, label, weight) of the documents."""
+    mass = now.join(docs.select("id", "terms"), "id").select(F.explode("terms").alias("term"), "label", "weight").groupBy("term", "label").agg(F.sum("weight").alias("mass"))
+    sizes = now.groupBy("label").agg(F.sum("weight").alias("mass"))
+    old = now.limit(0) if before is None else before
+    both = now.withColumnRenamed("weight", "now").join(old.withColumnRenamed("weight", "then"), ["id", "label"], "full")
+    per = both.groupBy("id").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("then", F.lit(0.0)))).alias("moved"), F.max(F.col("then").isNotNull()).alias("known"))
+    stats = per.agg((F.coalesce(F.sum("moved"), F.lit(0.0)) / 2).alias("a"), F.count("*").cast("double").alias("b"), F.count_if(~F.col("known")).cast("double").alias("c"))
+    rows = stats.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(c).alias("mass")) for k, c in (("\1moved", "a"), ("\1documents", "b"), ("\1fresh", "c"))])).alias("x")).select("x.*")
+    return mass.union(sizes.union(rows).select(F.lit(None).cast("long"), "label", "mass"))
+
+
 def _carried(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, label, weight): the mass of each label on each document, from its terms."""
     words = docs.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
@@ -103,22 +209,38 @@ def _carried(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return held.groupBy("id", F.col("l.label").alias("label")).agg(F.sum(F.col("n") * F.col("l.p")).alias("weight"))
 
 
-def propagated(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _labelled(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, label, weight) of the documents: seeds as they are, the others by their terms, weights summing to 1."""
+    carried = _carried(docs.where("seed is null"), terms)
+    total = carried.groupBy("id").agg(F.sum("weight").alias("total"))
+    seeds = docs.where("seed is not null").select("id", F.col("seed").alias("label"), F.lit(1.0).alias("weight"))
+    return materialize(seeds.union(carried.join(total, "id").select("id", "label", F.col("weight") / F.col("total"))), "labels")
+
+
+def propagated(docs: DataFrame, rounds: int = ROUNDS, most_terms: int = TERMS) -> DataFrame:
     """(id, label, weight): words of each subject in each document, after propagation."""
-    seeds = materialize(docs.where("seed is not null").select("id", F.col("seed").alias("label"), F.lit(1.0).alias("weight")), "seeds")
-    free = docs.where("seed is null")
-    labels = seeds
-    for _ in range(rounds - 1):
-        terms = materialize(_term_labels(docs, labels), "termlabels")
-        carried = _carried(free, terms)
-        total = carried.groupBy("id").agg(F.sum("weight").alias("total"))
-        before, labels = labels, materialize(seeds.union(carried.join(total, "id").select("id", "label", F.col("weight") / F.col("total"))), "labels")
-        both = labels.groupBy("id", "label").agg(F.sum("weight").alias("now")).join(before.groupBy("id", "label").agg(F.sum("weight").alias("then")), ["id", "label"], "full")
-        per = both.groupBy("id").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("then", F.lit(0.0)))).alias("moved"), F.max(F.col("then").isNotNull()).alias("known"))
-        moved, fresh = per.agg(F.avg("moved") / 2, F.count_if(~F.col("known"))).first()
-        if not fresh and (moved or 0.0) < MOVED:
+    context, kind = docs.sparkSession.sparkContext, "term long, label string, mass double"
+    names = sorted(r["seed"] for r in docs.where("seed is not null").select("seed").distinct().collect())  # codes of the list of subjects
+    slim, empty = docs.select("id", "seed", "terms", "counts"), docs.select(F.lit(0).cast("long").alias("term"), F.lit(None).cast("array<struct<label:string,p:double>>").alias("labels")).limit(0)
+    if not names:
+        return _carried(docs, empty)
+    tables, labels, terms = [], [None, None], empty
+    for turn in range(rounds + 1):
+        if len(tables) == turn:  # no table so far was too large to send
+            rows = slim.mapInArrow(_mass_batches([*[None, None], *tables][-2:], names), kind)
+        else:
+            now = _labelled(docs, terms)
+            rows, labels = _joined_masses(docs, labels[1], now), [labels[1], now]
+        summed = materialize(rows.groupBy("term", "label").agg(F.round(F.sum("mass"), 6).alias("mass")), "masses")  # rounded, so that the order of additions decides no tie
+        told = {r["label"]: r["mass"] for r in summed.where("term is null").collect()}
+        if turn and not told["\1fresh"] and told["\1moved"] < MOVED * max(1.0, told["\1documents"]):
             break
-    return _carried(docs, materialize(_term_labels(docs, labels), "termlabels"))
+        terms = materialize(_pure(summed.where("term is not null"), {n: max(told.get(n, 0.0), 1e-9) for n in names}), "termlabels")
+        if len(tables) == turn and terms.count() <= most_terms:
+            tables.append(context.broadcast(Labels(terms, names)))
+    if len(tables) < turn or len(tables) == 0:
+        return _carried(docs, terms)
+    return slim.mapInArrow(_weight_batches(tables[-1], names), "id long, label string, weight double")
 
 
 def found(docs: DataFrame, carried: DataFrame, least_words: int = 20) -> DataFrame:

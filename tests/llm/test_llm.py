@@ -302,6 +302,12 @@ def test_subjects(spark):
     assert subjects.found(none, subjects.propagated(none)).count() == 0
 
 
+def test_subjects_by_joins_as_by_passes(spark, data):
+    p = subjects.profiles(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/subject_areas.parquet"))
+    one, two = ({(r["id"], r["label"]): r["weight"] for r in subjects.propagated(p, most_terms=n).collect()} for n in (subjects.TERMS, 0))
+    assert one.keys() == two.keys() and len(one) > 50 and all(abs(one[k] - two[k]) < 1e-3 * max(1, two[k]) for k in one)
+
+
 def test_subjects_over_long_paths(spark):
     areas = spark.createDataFrame([("ley", "es", "juez"), ("bio", "es", "célula")], "domain string, lang string, keyword string")
     rest = "Nada de esto trata de algo y cada cosa es como otra cosa que no se dice aquí en tanto que sí se calla. "
