@@ -893,6 +893,22 @@ def s14_records_prose(spark, d):
     return n.select("n_nationkey", formats.records_prose(n, "n_nationkey", "n_name").alias("text"))
 
 
+@query("SELECT doc_id, CASE WHEN source = 'biblioteca_central' AND regexp_full_match(text, '[\\x{1}-\\x{FF}]*') THEN text ELSE ltrim(text, chr(65279)) END AS text FROM documents WHERE text IS NOT NULL")
+def s03_decoded(spark, d):
+    """Each text as the bytes of a file: of one source in Latin-1 where it has no other characters, else in UTF-8 with a byte-order mark."""
+    latin = F.coalesce(F.col("source") == "biblioteca_central", F.lit(False)) & F.col("text").rlike(r"\A[\x{1}-\x{FF}]*\z")
+    raw = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+    return documents(spark, d).select("doc_id", corpus.decoded(raw).alias("text"))
+
+
+@query(f"WITH f AS ({_FILES}), p AS (SELECT source AS path, count(*) AS n FROM passages WHERE source IS NOT NULL GROUP BY 1), a AS (SELECT path, strlen(coalesce(text, '')) AS size FROM f UNION ALL SELECT path, 1024 FROM p) SELECT path, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE 'general' END AS domain, coalesce(n, 0) AS n_passages, round(size / 1024, 1) AS size_kb FROM a LEFT JOIN p USING (path)")
+def s22_listing(spark, d):
+    """The documents as files, and the files of the passages."""
+    p = table(spark, d, "passages")
+    files = _files(spark, d).select("path", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size")).union(p.where("source is not null").select(F.col("source").alias("path"), F.lit(1024).cast("long")).distinct())
+    return corpus.listed(files, p)
+
+
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def s21_uploads(spark, d):
     return documents(spark, d).select("doc_id", formats.uploaded(F.base64(F.encode("text", "UTF-8"))).alias("text"))

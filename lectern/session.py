@@ -51,3 +51,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def snapshot(spark: SparkSession) -> dict:
+    """What the session runs on: cores in all, executors, memory of the driver and of an executor as set, partitions of a shuffle."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    return {
+        "cores": sc.defaultParallelism, "executors": max(1, sc._jsc.sc().getExecutorMemoryStatus().size() - (0 if re.match(r"local(\[|$)", sc.master) else 1)), "driver_memory": conf.get("spark.driver.memory", "1g"),
+        "executor_memory": conf.get("spark.executor.memory", "1g"), "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
+    }

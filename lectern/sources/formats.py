@@ -89,7 +89,21 @@ def pdf(raw: bytes) -> list[tuple[int | None, str]]:
     return [(i, p.extract_text() or "") for i, p in enumerate(PdfReader(io.BytesIO(raw)).pages, 1)]
 
 
-READERS = {"docx": docx, "odt": odt, "pptx": pptx, "xlsx": xlsx, "rtf": rtf, "pdf": pdf}
+def xls(raw: bytes) -> list[tuple[int | None, str | None]]:
+    """Sheets of a legacy workbook with a reader library where one is installed; else null, for its records are no text."""
+    try:
+        from xlrd import open_workbook
+    except ImportError:
+        return [(None, None)]
+    out = []
+    for sheet in open_workbook(file_contents=raw).sheets():
+        out.append(f"## Hoja: {sheet.name}")
+        rows = ([str(c).strip() for c in sheet.row_values(i)] for i in range(sheet.nrows))
+        out += [" | ".join(c for c in r if c) for r in rows if any(r)]
+    return [(None, "\n".join(out))]
+
+
+READERS = {"docx": docx, "odt": odt, "pptx": pptx, "xlsx": xlsx, "xls": xls, "rtf": rtf, "pdf": pdf}
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

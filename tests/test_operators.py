@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import lexicons as lex
+from lectern import session
 from lectern.functions import text as tx
 from lectern.operators import changes, chunking, cleaning, codes, index, knowledge, logs, nlu, quality, retrieval
 from lectern.sources import corpus, formats, loaders, sinks
@@ -321,6 +322,20 @@ def test_explanations(spark):
     assert told == {1: ("el índice del sistema\n\nhechos", 1.0), 2: ("hechos", 0.4)}
 
 
+def test_templates_and_snapshot(spark):
+    templates = spark.createDataFrame([("bucle", ["bucle", "for"], "for x in y:"), ("clase", ["clase", "objeto"], "class A:")], "name string, keywords array<string>, code string")
+    asked = spark.createDataFrame([(1, "Un bucle for"), (2, "una clase y un bucle"), (3, "nada"), (4, None)], "id long, text string")
+    assert {r["id"]: r["name"] for r in codes.generated(asked, templates).collect()} == {1: "bucle", 2: "bucle", 3: None, 4: None}
+    assert session.snapshot(spark)["cores"] == 4 and session.snapshot(spark)["executors"] == 1
+
+
+def test_cleared_tables(spark, data):
+    kept = session.materialize(spark.range(3), "x")
+    assert kept.count() == 3
+    session.clear(spark)
+    assert not session.shared_dir(spark).startswith("/") and pytest.raises(Exception, spark.read.parquet, session._own_dir(spark))
+
+
 def test_code_lines(spark):
     assert codes.kind_of("El informe final; la clase return class import from print.") == "desconocido" and codes.kind_of("", "a/b.java") == "java"
     assert codes.kind_of("public class A {\n  public static void main(String[] a) {}\n}") == "java" and codes.kind_of("#include <iostream>\nint main() { std::cout << 1; }") == "cpp"
