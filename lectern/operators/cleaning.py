@@ -33,8 +33,8 @@ def pdf_artifacts(c: Column | str) -> Column:
 
 
 def entities(c: Column | str) -> Column:
-    c = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), lex.ENTITIES.items(), col(c))
-    return F.regexp_replace(c, f"&#?{WORD_CHAR}+;", "")
+    plain = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), lex.ENTITIES.items(), col(c))
+    return F.when(~col(c).contains("&"), col(c)).otherwise(F.regexp_replace(plain, f"&#?{WORD_CHAR}+;", ""))
 
 
 def control_characters(c: Column | str) -> Column:
@@ -52,8 +52,9 @@ def short_noise_lines(c: Column | str, min_words: int = 2) -> Column:
 
     def kept(line: Column) -> Column:
         s = strip(line)
-        noisy = (F.size(words(line)) < min_words) & ~F.substring(s, -1, 1).isin(".", ":", "?", "!") & (F.array_contains(noise, F.lower(s)) | (F.length(s) < 4))
-        return (s == "") | s.startswith("#") | s.rlike(LIST_ITEM) | ~noisy
+        # In the order of what tells most lines apart at least cost: few are that short.
+        noisy = ((F.length(s) < 4) | F.array_contains(noise, F.lower(s))) & ~F.substring(s, -1, 1).isin(".", ":", "?", "!") & (F.size(words(line)) < min_words)
+        return ~noisy | (s == "") | s.startswith("#") | s.rlike(LIST_ITEM)
 
     return _unlines(F.filter(_lines(col(c)), kept))
 
@@ -94,7 +95,7 @@ def broken_tables(c: Column | str) -> Column:
     """Two or more lines in a row of at least three cells each become ``a | b | c``."""
     lines = _lines(col(c))
     flags = F.transform(lines, lambda s: (F.size(_cells(s)) >= 3) & ~strip(s).startswith("#"))
-    return F.when(~F.exists(flags, lambda x: x), col(c)).otherwise(_unlines(F.zip_with(lines, _islands(flags, 2), lambda s, row: F.when(row, F.array_join(_cells(s), " | ")).otherwise(s))))
+    return F.when(~col(c).contains("  "), col(c)).when(~F.exists(flags, lambda x: x), col(c)).otherwise(_unlines(F.zip_with(lines, _islands(flags, 2), lambda s, row: F.when(row, F.array_join(_cells(s), " | ")).otherwise(s))))
 
 
 _COLUMNS = r"^(.+?\S) {3,}(\S.+)"
@@ -116,7 +117,7 @@ def double_columns(c: Column | str, min_block: int = 4) -> Column:
         return F.when(m, F.struct(a["out"].alias("out"), F.concat(a["l"], F.array(part(s, 1))).alias("l"), F.concat(a["r"], F.array(part(s, 2))).alias("r"))).otherwise(F.struct(F.concat(flush(a), F.array(s)).alias("out"), none.alias("l"), none.alias("r")))
 
     folded = F.aggregate(F.transform(marked, lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"))), zero, step, flush)
-    return F.when(~F.exists(flags, lambda x: x), col(c)).otherwise(_unlines(folded))
+    return F.when(~col(c).contains("   "), col(c)).when(~F.exists(flags, lambda x: x), col(c)).otherwise(_unlines(folded))
 
 
 def _repeated(keys: Column, least: int) -> Column:
@@ -136,7 +137,8 @@ def watermarks(c: Column | str) -> Column:
     lines = _lines(col(c))
     marks = F.array(*map(F.lit, lex.WATERMARKS))
     capital = F.filter(F.transform(lines, strip), lambda s: (F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) >= 3) & (F.size(words(s)) == 1))
-    return let(_repeated(capital, 3), lambda gone: _unlines(F.filter(lines, lambda s: ~F.array_contains(marks, F.lower(strip(s))) & ~F.array_contains(gone, strip(s)))))
+    mark = lambda s: F.array_contains(marks, F.lower(strip(s)))
+    return let(_repeated(capital, 3), lambda gone: _unlines(F.filter(lines, lambda s: ~(mark(s) | ((F.size(gone) > 0) & F.array_contains(gone, strip(s)))))))
 
 
 def _final(c: Column) -> Column:
