@@ -256,6 +256,22 @@ def test_index_cached_and_updated(spark, tmp_path):
     assert none.postings.count() == 0
 
 
+def test_frequent_terms_are_looked_up_exactly(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, "d", "s", "t", " ".join(rng.choice(["agua", "tierra", "fuego", f"raro{rng.randrange(40)}", f"unico{i}"]) for _ in range(12)), None) for i in range(300)]
+    idx = index.build(_stored(spark, rows))
+    asked = [(1, "agua raro3"), (2, "agua tierra fuego"), (3, "raro1 raro2 agua"), (4, "unico7 agua agua"), (5, "nada"), (6, "raro5"), (7, None)]
+    terms = retrieval.query_terms(spark.createDataFrame(asked, "qid long, text string"))
+    for k in (1, 3):
+        got = []
+        for worth in (0, 10**9):
+            monkeypatch.setattr(retrieval, "WORTH", worth)
+            got.append(sorted(map(tuple, retrieval.search(terms, idx, k).collect())))
+        assert got[0] == got[1] and len(got[0]) >= 5 * min(k, 2)
+
+
 def test_added_files(spark):
     idx = index.build(_stored(spark, PASSAGES))
     texts = spark.createDataFrame([(1, "# La energía\n\ny el campo", None, None), (2, "campo de energía", "Otro", None), (3, "zanahoria", None, None), (4, "x", "T", "Mi Tema"), (5, "  ", None, None), (6, None, None, None)], "doc_id long, text string, title string, domain string")
