@@ -106,7 +106,7 @@ def learned_words(texts: DataFrame, known: dict[str, list[str]] | None = None, t
     """(lang, term): tokens not known in their language."""
     pairs = texts.where(F.col(lang_col).isin("es", "en")).select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(tokens(text_col))).alias("term")).distinct()
     rows = [(c, t) for c, ts in (known or {c: v.split() for c, v in lex.STOPWORDS.items()}).items() for t in ts]
-    return pairs.join(F.broadcast(texts.sparkSession.createDataFrame(rows, "lang string, term string")), ["lang", "term"], "left_anti")
+    return pairs.join(texts.sparkSession.createDataFrame(rows, "lang string, term string"), ["lang", "term"], "left_anti")
 
 
 def rotation(log: DataFrame, key: str = "intent", ts: str = "ts", ident: str = "usage_id", responses: int = 3) -> DataFrame:

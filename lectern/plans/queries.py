@@ -86,9 +86,9 @@ WITH l AS ({_lines()}), k AS (SELECT *, {s.strip("line")} AS st FROM l), c AS (S
 SELECT d.doc_id, coalesce((SELECT string_agg(k.line, chr(10) ORDER BY k.pos) FROM k WHERE k.doc_id = d.doc_id AND NOT list_contains({s.strings(lex.WATERMARKS)}, lower(k.st)) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = k.doc_id AND c.st = k.st)), '') AS cleaned FROM documents d WHERE text IS NOT NULL"""
 
 
-def _whole(aggressive: bool) -> str:
+def _whole(aggressive: bool, source: str = "documents") -> str:
     """The composition as one chain of tables s0 (doc_id, text), s1, ..."""
-    n, ctes = 0, ["s0 AS (SELECT doc_id, nfc_normalize(replace(text, chr(0), '')) AS text FROM documents WHERE text IS NOT NULL)"]
+    n, ctes = 0, [f"s0 AS (SELECT doc_id, nfc_normalize(replace(text, chr(0), '')) AS text FROM {source} WHERE text IS NOT NULL)"]
 
     def scalar(e):
         nonlocal n
@@ -285,11 +285,12 @@ def t08_word_counts(spark, d):
 
 _SPLIT = f"string_split(regexp_replace(text, {s.q('([.!?])' + tx.WS + '+')}, '\\1' || chr(1), 'g'), chr(1))"
 _STOP = lambda start, least: f"coalesce((list_filter(range(greatest({least}, {start} + 1), n), lambda j: ps[j + 2] - ps[{start} + 1] > 300))[1], n)"
-_CHUNKS = f"""e AS (SELECT doc_id, unnest({_SPLIT}) AS sent, generate_subscripts({_SPLIT}, 1) AS pos FROM documents WHERE text IS NOT NULL), z AS (SELECT *, len({s.words("sent")}) AS size FROM e),
+_CHUNKS_OF = lambda source: f"""e AS (SELECT doc_id, unnest({_SPLIT}) AS sent, generate_subscripts({_SPLIT}, 1) AS pos FROM {source} WHERE text IS NOT NULL), z AS (SELECT *, len({s.words("sent")}) AS size FROM e),
 q AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM z), d AS (SELECT doc_id, count(*) AS n, list(sent ORDER BY pos) AS sents, list_prepend(0, list(CAST(upto AS BIGINT) ORDER BY pos)) AS ps FROM q GROUP BY doc_id),
 r(doc_id, piece, start, stop) AS (SELECT doc_id, 0, CAST(0 AS BIGINT), CAST({_STOP("0", "0")} AS BIGINT) FROM d UNION ALL
 SELECT doc_id, piece + 1, again, CAST({_STOP("again", "stop + 1")} AS BIGINT) FROM (SELECT r.doc_id, piece, stop, n, ps, (list_filter(range(start, stop), lambda k: k = stop - 1 OR ps[stop + 1] - ps[k + 1] <= 50))[1] AS again FROM r JOIN d USING (doc_id) WHERE stop < n)),
-chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk, {s.strip("array_to_string(sents[start + 1:stop], ' ')")} AS text FROM r JOIN d USING (doc_id) WHERE ps[stop + 1] - ps[start + 1] > 10)"""
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk, {s.strip("array_to_string(sents[start + 1:stop], ' ')")} AS text FROM r JOIN d USING (doc_id) WHERE ps[stop + 1] - ps[start + 1] > 10)"""
+_CHUNKS = _CHUNKS_OF("documents")
 
 
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, text FROM chunks")
@@ -297,7 +298,12 @@ def h01_chunks(spark, d):
     return chunking.chunks(documents(spark, d), ["doc_id"])
 
 
-@query()
+_BODIES = SQL["c14_pages_without_headers"].replace("WITH o AS", "o AS", 1)
+_BODIES = _BODIES[: _BODIES.rindex("SELECT doc_id, page, CASE")] .rstrip() + ", bodies AS (" + _BODIES[_BODIES.rindex("SELECT doc_id, page, CASE") :] + "), keyed AS (SELECT doc_id || ':' || page || ':' || md5(text) AS doc_id, doc_id AS d, page, text FROM bodies)"
+_PAGES_CLEAN = _whole(True, "keyed").removeprefix("WITH ") + ", sheets AS (SELECT doc_id, cleaned AS text FROM whole)"
+
+
+@query(f"WITH RECURSIVE {_BODIES}, {_PAGES_CLEAN}, {_CHUNKS_OF('sheets')} SELECT k.d AS doc_id, k.page, CAST(chunk AS INTEGER) AS chunk, c.text FROM chunks c JOIN keyed k USING (doc_id)")
 def h02_paged_chunks(spark, d):
     return chunking.paged_chunks(table(spark, d, "scan_pages").where("text is not null"))
 
@@ -469,7 +475,14 @@ def q11_confidence(spark, d):
     return found(spark, d)[2].select("qid", "rank", retrieval.confidence_label(F.col("score")).alias("label"), retrieval.confidence_label(F.col("score"), 0.5, 0.2).alias("strict_label"))
 
 
-@query()
+_OUTCOME = f"""qa AS (SELECT item_id AS qid, len(list_filter({s.tokens("text")}, lambda t: length(t) > 2 AND NOT list_contains({s.strings(lex.ALL_STOPWORDS + lex.QUESTION_STARTS)}, t))) AS c, {_QUESTION("text")} AS framed FROM benchmark),
+ta AS (SELECT *, max(raw_score) OVER (PARTITION BY qid) AS top FROM hits), na AS (SELECT qid, max(top) AS top, count(DISTINCT CASE WHEN top > 0 AND raw_score / top >= 0.78 THEN coalesce(domain, '') END) AS domains FROM ta GROUP BY qid),
+oa AS (SELECT qa.qid, CASE WHEN top IS NULL THEN 'empty' WHEN framed AND c >= 1 THEN 'ok' WHEN c > 1 OR top <= 0 THEN 'ok' WHEN domains >= 2 THEN 'ambiguous' ELSE 'ok' END AS outcome FROM qa LEFT JOIN na USING (qid))"""
+
+
+@query(f"""WITH {_HITS.replace("rank <= 10)", "rank <= 5)")}, {_PROSE}, {_OUTCOME}, ch AS (SELECT qid, 1 AS section, pid FROM s1 UNION ALL SELECT qid, 2, pid FROM s2), bo AS (SELECT ch.qid, string_agg(text, chr(10) || chr(10) ORDER BY section) AS body FROM ch JOIN hits ON hits.qid = ch.qid AND hits.pid = ch.pid GROUP BY ch.qid),
+so AS (SELECT qid, string_agg(coalesce(source, '') || coalesce(', página ' || page, '') || ' (' || printf('%.2f', CAST(round(CAST(score AS DECIMAL(6, 4)), 2) AS DOUBLE)) || ')', '; ' ORDER BY rank) AS sources FROM hits GROUP BY qid), be AS (SELECT qid, domain, score FROM hits WHERE rank = 1)
+SELECT oa.qid, outcome, domain, coalesce(score, 0) AS score, CASE WHEN coalesce(score, 0) >= 0.25 THEN 'high' WHEN coalesce(score, 0) >= 0.12 THEN 'medium' ELSE 'low' END AS label, CASE WHEN outcome = 'ok' THEN concat_ws(chr(10), body, '[' || sources || ']') END AS reply FROM oa LEFT JOIN be USING (qid) LEFT JOIN bo USING (qid) LEFT JOIN so USING (qid)""")
 def a01_answers(spark, d):
     return retrieval.answered(benchmark(spark, d), built(spark, d), synonyms(spark))
 
