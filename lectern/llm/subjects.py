@@ -129,7 +129,7 @@ def _held(b: pa.RecordBatch, *tables) -> tuple[np.ndarray, np.ndarray, list[np.n
     sizes = np.diff(lists.offsets.to_numpy())
     flat, n = lists.flatten().to_numpy(), b.column("counts").flatten().to_numpy().astype(np.float64)
     doc = np.repeat(np.arange(b.num_rows), sizes)
-    unique, code = np.unique(flat, return_inverse=True)
+    code, unique = pd.factorize(flat)
     out = []
     for t in tables:
         w = t.of(unique).astype(np.float64)
@@ -163,13 +163,15 @@ def _mass_batches(tables, names: list[str]):
             states.append(np.where(seed[:, None] >= 0, seeded, w / np.where(total > 0, total, 1)))
         now, before = states[-1], states[-2] if len(states) > 1 else seeded
         known, fresh = now.any(1), now.any(1) & ~before.any(1)
-        terms, labels, mass = [], [], []
-        has = np.flatnonzero(known[doc]) if len(doc) else np.empty(0, np.int64)
-        for j in np.flatnonzero(now.any(0)):
-            m = np.bincount(code[has], now[doc[has], j], len(unique))
-            at = np.flatnonzero(m)
-            terms.append(unique[at]), labels.append(np.full(len(at), j)), mass.append(m[at])
-        t, k, m = (np.concatenate(x) if x else np.empty(0) for x in (terms, labels, mass))
+        # Each pair of a document and a label it has, times the document's terms, which stand together.
+        d, j = np.nonzero(now)
+        sizes = np.bincount(doc, minlength=b.num_rows)
+        first = np.cumsum(sizes) - sizes
+        many = sizes[d]
+        at = np.repeat(first[d] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        summed = np.bincount(code[at] * len(names) + np.repeat(j, many), np.repeat(now[d, j], many), len(unique) * len(names))
+        has = np.flatnonzero(summed)
+        t, k, m = unique[has // len(names)], has % len(names), summed[has]
         moved = float(np.abs(now - before)[known | before.any(1)].sum() / 2)
         extra = [*now.sum(0), moved, float((known | before.any(1)).sum()), float(fresh.sum())]
         kinds_ = [*names, "\1moved", "\1documents", "\1fresh"]
