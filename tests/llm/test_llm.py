@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,31 @@ def test_buckets_across_batches(step, monkeypatch):
     assert {x[1] for x in large if x[0] == 2} == {0, 1, 2, 3} and {x[1] for x in large if x[0] == 12} == {0, 1}
 
 
+def test_candidates_in_rounds(spark, monkeypatch):
+    from lectern.session import shared_dir
+
+    rng, tags = random.Random(4), []
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(300)}" for _ in range(60)]
+        for i in range(30):
+            w = list(base)
+            w[rng.randrange(60)] = f"x{g}y{i}"
+            rows.append((100 * g + i, " ".join(w)))
+    write = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag, **options: (tags.append(tag), write(df, tag, **options))[1])
+    monkeypatch.setattr(neardup, "BLOCK", 8)  # buckets of 30 are cut into blocks
+    monkeypatch.setattr(neardup, "ROUND", 1)
+    monkeypatch.setattr(neardup, "AT_ONCE", 1)
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "lectern" / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    got = [tuple(r) for r in neardup.similar_pairs(*neardup.similar_classes(docs(spark, rows), k=3, threshold=0.5, min_words=20)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(dict(rows), 3, 0.5, 20)
+    assert tags.count("likely") > 3
+    left = {p.name.partition("-")[0] for p in set(folder.glob("*")) - before}
+    assert not left & {"sketch", "reps", "probe"} and {"members", "runs", "likely"} <= left
+
+
 def test_no_documents_no_pairs(spark):
     members, links = neardup.similar_classes(docs(spark, []))
     assert members.count() == 0 and neardup.similar_pairs(members, links).count() == 0
