@@ -22,6 +22,9 @@ running headers and page numbers are removed and the rest is reflowed.
   often than that beside its frequent neighbour is an error unless the words around speak against
   the neighbour; one seen up to two standard deviations more often is one only if, by the vectors,
   the neighbour is at home among them.
+* A token that blends letters with digits or signs is misread however often it is seen, and the page has ``ocr`` even where
+  no frequent word is near.  Its neighbour is the frequent word of its key, accents aside, that takes the fewest edits, unless
+  the words around speak against it.
 * The words around speak against it if they are found beside the neighbour far less often than
   chance has it (``AGAINST``, log odds), at this place or at all places of the rare word together.
   The vectors can't say so, since they hold positive information only.  Words of one or two letters
@@ -73,6 +76,8 @@ _HYPHENS = ("-", "–", "\xad", "¬")
 _FIRST = re.compile(r"^\s*([^\W_@|][\w@|]*|[@|]\w+)")
 _BLEND = re.compile(r"(?:[^\W\d_]|[@|~])*(?:[^\W\d_][0-9@|~]|[0-9@|~][^\W\d_])[\w@|~]*")
 _BLENDS = re.compile(r"[@|~]|[0-9][^\W\d_]|[^\W\d_][0-9]")
+_MIXED, _CODE = re.compile(r"[0-9@|~]"), re.compile(r"[2347]")
+_MISREAD_NUMBER = re.compile(r"(?=\D*\d\D*\d)[0-9lI|oO]*\d")
 _UNITS = re.compile(r"^\d+(?:st|nd|rd|th|er|re|e|a|o|º|ª|km|m|cm|mm|kg|g|h|s|C|D)$|\w@\w+\.\w")
 
 
@@ -90,16 +95,16 @@ def key(word: str) -> str:
     return k
 
 
-def words_of(text: str) -> tuple[list[str], bool]:
-    """Words in small letters, without tokens that blend letters with digits or signs; and whether there are such tokens, units apart."""
-    out, blend = [], False
+def words_of(text: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """Words in small letters, without tokens that blend letters with digits or signs; and such tokens, units apart, each with the number of words before it."""
+    out, blends = [], []
     for token in _TOKEN.findall(text):
         if token.isalpha():
             out.append(token.lower())
         elif not token.isdigit():
-            blend = blend or any(not _UNITS.search(m) for m in _BLEND.findall(token))
+            blends += [(len(out), m.lower()) for m in _BLEND.findall(token) if not _UNITS.search(m)]
             out += [w.lower() for w in _WORD.findall(_BLEND.sub(" ", token))]
-    return out, blend
+    return out, blends
 
 
 def line_key(line: str) -> str:
@@ -190,7 +195,7 @@ def furniture(text: str, page: int, heads: set, offsets: set, numbered: bool) ->
 
 def examine(text: str | None, page: int, heads, offsets, numbered: bool) -> dict:
     """What one page shows by itself: furniture, divided words, blended tokens, its words."""
-    empty = {"header": False, "page_number": False, "blend": False, "breaks": [], "words": [], "compounds": [], "first": None, "body": ""}
+    empty = {"header": False, "page_number": False, "blend": False, "breaks": [], "words": [], "blends": [], "compounds": [], "first": None, "body": ""}
     if not text or not text.strip():
         return empty
     if any(c in text for c in "ﬁﬂﬀﬃﬄ"):
@@ -215,12 +220,12 @@ def examine(text: str | None, page: int, heads, offsets, numbered: bool) -> dict
     flat = " ".join(joined)
     compounds = [f"{a}-{b}".lower() for a, b in _COMPOUND.findall(flat)]
     heads_text = " ".join(lines[i] for i in off)
-    words, _ = words_of(flat)
+    words, blends = words_of(flat)
     in_heads, _ = words_of(heads_text)
     words += [""] * AROUND + [w for w in in_heads if len(w) > 1]
-    blend = _BLENDS.search(text) is not None and words_of(text)[1]
+    blend = _BLENDS.search(text) is not None and bool(words_of(text)[1])
     first = _FIRST.match(full[0]) if full else None
-    return {"header": header, "page_number": num, "blend": blend, "breaks": breaks, "words": words, "compounds": compounds, "first": first.group(1) if first else None, "body": "\n".join(body)}
+    return {"header": header, "page_number": num, "blend": blend, "breaks": breaks, "words": words, "blends": blends, "compounds": compounds, "first": first.group(1) if first else None, "body": "\n".join(body)}
 
 
 def mapped(df: DataFrame, f, ddl: str, rows: int = 500) -> DataFrame:
@@ -238,14 +243,15 @@ def mapped(df: DataFrame, f, ddl: str, rows: int = 500) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-_EXAMINED = "doc_id long, page int, header boolean, page_number boolean, blend boolean, breaks array<struct<a:string, b:string, mark:string>>, words array<string>, compounds array<string>, first string, body string"
+_EXAMINED = "doc_id long, page int, header boolean, page_number boolean, blend boolean, breaks array<struct<a:string, b:string, mark:string>>, words array<string>, blends array<struct<at:int, word:string>>, compounds array<string>, first string, body string"
 
 
 def _examine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         rows = [examine(*r) for r in zip(p["text"], p["page"], p["heads"], p["offsets"], p["numbered"])]
-        out = pd.DataFrame(rows, columns=["header", "page_number", "blend", "breaks", "words", "compounds", "first", "body"])
+        out = pd.DataFrame(rows, columns=["header", "page_number", "blend", "breaks", "words", "blends", "compounds", "first", "body"])
         out["breaks"] = [[{"a": a, "b": b, "mark": c} for a, b, c in x] for x in out["breaks"]]
+        out["blends"] = [[{"at": at, "word": w} for at, w in x] for x in out["blends"]]
         out.insert(0, "page", p["page"].to_numpy()), out.insert(0, "doc_id", p["doc_id"].to_numpy())
         yield out
 
@@ -343,19 +349,25 @@ def vectors(pairs: DataFrame, shift: float = 1.0) -> DataFrame:
 
 
 def _rare_batches(context: frozenset):
-    """Sightings of all words but the context words, with the context words around."""
+    """Sightings of all words but the context words, and of tokens that blend letters with digits or signs, with the context words around.
+
+    A blend may be read with another accent, so its key is that of a header.  Digits that look like no letter make it a code, which has no neighbour."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
-            for doc, page, words, divided in zip(p["doc_id"], p["page"], p["words"], p["divided"]):
+            for doc, page, words, blends, divided in zip(p["doc_id"], p["page"], p["words"], p["blends"], p["divided"]):
                 for i, w in enumerate(words):
                     if w and w not in context:
                         around = [x for x in (*words[max(0, i - AROUND) : i], *words[i + 1 : i + 1 + AROUND]) if x in context]
                         rows.append((doc, page, w, key(w), around, None, False))
+                for x in blends:
+                    if not _CODE.search(w := x["word"]):
+                        around = [c for c in words[max(0, x["at"] - AROUND) : x["at"] + AROUND] if c in context]
+                        rows.append((doc, page, w, line_key(w), around, None, False))
                 for d in divided if divided is not None else ():
                     if (w := d["joined"]) not in context:
-                        rows.append((doc, page, w, key(w), [], d["a"], d["over"]))
+                        rows.append((doc, page, w, line_key(w) if _MIXED.search(w) else key(w), [], d["a"], d["over"]))
             yield pd.DataFrame(rows, columns=["doc_id", "page", "word", "key", "around", "a", "over"])
 
     return run
@@ -388,14 +400,19 @@ def misread(pages: DataFrame, divided: DataFrame) -> DataFrame:
     frequent = frequent_words(pages)
     context = frozenset(r["word"] for r in frequent.where("context").select("word").collect())  # at most 1 / FREQUENT
     joined = divided.where("b is not null").groupBy("doc_id", "page").agg(F.collect_list(F.struct("joined", "a", "over")).alias("divided"))
-    source = pages.select("doc_id", "page", "words").join(joined, ["doc_id", "page"], "left")
+    source = pages.select("doc_id", "page", "words", "blends").join(joined, ["doc_id", "page"], "left")
     rare = materialize(mapped(source, _rare_batches(context), "doc_id long, page int, word string, key string, around array<string>, a string, over boolean"), "rare")
     # The rest of a word that the page before divides is no word.
     rests = divided.where("over and b is not null").select("doc_id", (F.col("page") + 1).alias("page"), F.lower("b").alias("word")).join(pages.select("doc_id", "page", F.lower("first").alias("word")), ["doc_id", "page", "word"])
     rare = rare.join(rests.distinct(), ["doc_id", "page", "word"], "left_anti")
     counts = rare.groupBy("word").agg(F.count("*").alias("seen"))
     best = frequent.groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("meant"), F.max("n").alias("n"))
-    links = rare.select("word", "key").distinct().join(frequent, "word", "left_anti").join(best, "key").join(counts, "word").where(F.col("seen") <= _misread_at_most(F.col("n"))).select("word", "meant", "n", "seen")
+    mixed = F.col("word").rlike(_MIXED.pattern)
+    links = rare.where(~mixed).select("word", "key").distinct().join(frequent, "word", "left_anti").join(best, "key").join(counts, "word").where(F.col("seen") <= _misread_at_most(F.col("n"))).select("word", "meant", "n", "seen")
+    # A blend shows by itself that it is misread, however often it is seen; it has most letters of the word that was meant.
+    near = frequent.select(F.col("word").alias("meant"), "n", F.pandas_udf(lambda s: s.map(line_key), "string")("word").alias("key"))
+    near = rare.where(mixed).select("word", "key").distinct().join(near, "key").groupBy("word").agg(F.min_by(F.struct("meant", "n"), F.struct(F.levenshtein("word", "meant"), -F.col("n"), "meant")).alias("x"))
+    links = links.union(near.join(counts, "word").select("word", "x.meant", "x.n", "seen"))
     pairs = neighbours(pages, frequent, context)
     asked = materialize(rare.drop("key").join(links, "word").withColumn("id", F.monotonically_increasing_id()), "asked")
     held = asked.join(vectors(pairs).withColumnRenamed("word", "meant"), "meant", "left").join(spoken(asked, pairs), "id", "left")
@@ -404,7 +421,7 @@ def misread(pages: DataFrame, divided: DataFrame) -> DataFrame:
     fitted = mapped(fitted, _at_home, "doc_id long, page int, word string, meant string, n long, seen long, a string, over boolean, fit double", 2000)
     # Of a word divided by the page, the part that differs tells on which page it was misread.
     page = F.col("page") + F.when(F.col("over") & F.startswith(F.col("meant"), F.lower("a")), 1).otherwise(0)
-    return fitted.where((F.col("seen") <= RATE * F.col("n")) | (F.col("fit") > 0)).select("doc_id", page.alias("page"), "word", "meant", "n", "seen", "fit")
+    return fitted.where((F.col("seen") <= RATE * F.col("n")) | (F.col("fit") > 0) | mixed).select("doc_id", page.alias("page"), "word", "meant", "n", "seen", "fit")
 
 
 def found(pages: DataFrame) -> DataFrame:
@@ -419,17 +436,20 @@ def found(pages: DataFrame) -> DataFrame:
     return out
 
 
+_READ = re.compile(rf"{_BLEND.pattern}|{_WORD.pattern}")
 _LEAD = re.compile(r"^\s{2,}\S")
 
 
 def reflow(body: str, fixes: dict[str, str]) -> list[str]:
-    """Paragraphs of a page: wrapped lines joined, divided words mended, misread words replaced."""
+    """Paragraphs of a page: wrapped lines joined, divided words mended, misread words and numbers replaced."""
     out, current = [], ""
 
     def fix(m: re.Match) -> str:
         w = m.group()
         to = fixes.get(w.lower())
-        return w if to is None else to.upper() if w.isupper() and len(w) > 1 else to.capitalize() if w[0].isupper() else to
+        if to is None and _MISREAD_NUMBER.fullmatch(w):
+            return w.translate(_DIGITS)
+        return w if to is None else to.upper() if w.isupper() and len(w) > 1 else to.capitalize() if w[0].isupper() or w[0] in "58" else to  # 5 and 8 look like capitals
 
     for line in [*body.split("\n"), ""]:
         s = line.strip()
@@ -440,7 +460,7 @@ def reflow(body: str, fixes: dict[str, str]) -> list[str]:
         if s:
             m = _BREAK.search(current)
             current = (current[: m.end(1)] + ("-" if f"{m.group(1)}-{_FIRST.match(s).group(1) if _FIRST.match(s) else ''}".lower() in fixes else "") if m else current + " " * bool(current)) + s
-    return [re.sub(r"[^\W_][\w@|]*|[@|]\w+", fix, p) for p in out]
+    return [_READ.sub(fix, p) for p in out]
 
 
 def _reflow_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -165,6 +165,29 @@ def test_words_of_few_sightings_in_large_tables(spark, monkeypatch):
     assert got == {(200, "núrfola", "núrtola")}
 
 
+def test_tokens_blended_with_digits_and_signs(spark):
+    right = "Ella sabe mucho porque la crónica es larga "
+    rows = [(i, 1, right * 5) for i in range(10)] + [(100 + i, 1, "Notre salle est grande " * 10) for i in range(12)]
+    rows += [(200 + i, 1, "Ella s@be mucho p0rque la cr6nica es l@rga") for i in range(20)] + [(300, 1, "Ella sabe mucho\nP0RQUE la 5abe y l25 o x2y es larga"), (301, 1, "Ella sabe mucho p0r-\nque la crónica es larga")]
+    pages = scans.examined(docs(spark, rows, "doc_id long, page int, text string"))
+    text = {r["doc_id"]: r["text"] for r in scans.paragraphs(pages).where("doc_id >= 200").collect()}
+    assert {text[200 + i] for i in range(20)} == {right.strip()} == {text[301]}
+    assert text[300] == "Ella sabe mucho PORQUE la Sabe y 125 o x2y es larga"
+    assert {tuple(r) for r in scans.found(pages).collect()} == {*((d, 1, "ocr") for d in [*range(200, 220), 300, 301]), (301, 1, "hyphen")}
+
+
+def test_blended_tokens_and_their_places():
+    assert scans.words_of("El p0rque de 5km y c@sa 12 |ocal") == (["el", "de", "y"], [(1, "p0rque"), (3, "c@sa"), (3, "|ocal")])
+
+
+def test_words_around_speak_against_a_blend(spark):
+    es, fr = "el gato ve el perro y el pan del campo con el agua ", "il tente expliquer cette chose avec patience pour nous tous "
+    rows = [(i, 1, es * 10) for i in range(12)] + [(100 + i, 1, fr * 10) for i in range(12)] + [(200, 1, es + "y el p@n del camp0"), (201, 1, fr + "e1 chose avec patience pour nous e1 cette chose")]
+    pages = scans.examined(docs(spark, rows, "doc_id long, page int, text string"))
+    got = {(r["doc_id"], r["word"], r["meant"]) for r in scans.misread(pages, scans.divisions(pages)).collect()}
+    assert got == {(200, "p@n", "pan"), (200, "camp0", "campo")}
+
+
 def test_paragraphs_over_many_pages(spark):
     rows = [(1, p, 0, "abc de" if p % 2 else "fgh-") for p in range(scans.PAGES - 3, scans.PAGES + 2)] + [(1, scans.PAGES + 1, 1, "Fin."), (1, scans.PAGES + 2, 0, "Otro"), (1, scans.PAGES + 4, 0, "tras un hueco")]
     got = [tuple(r) for r in scans.stitched(docs(spark, rows, "doc_id long, page int, paragraph int, text string")).orderBy("paragraph").collect()]
