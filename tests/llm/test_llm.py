@@ -107,13 +107,14 @@ def test_candidates_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)  # buckets of 30 are cut into blocks
     monkeypatch.setattr(neardup, "ROUND", 1)
     monkeypatch.setattr(neardup, "AT_ONCE", 1)
+    monkeypatch.setattr(neardup, "VERIFIED_AT_ONCE", 1)
     folder = Path(shared_dir(spark).removeprefix("file://")) / "lectern" / spark.sparkContext.applicationId
     before = set(folder.glob("*"))
     got = [tuple(r) for r in neardup.similar_pairs(*neardup.similar_classes(docs(spark, rows), k=3, threshold=0.5, min_words=20)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(dict(rows), 3, 0.5, 20)
-    assert tags.count("likely") > 3
+    assert tags.count("likely") > 3 and tags.count("runs") == tags.count("links") > 3
     left = {p.name.partition("-")[0] for p in set(folder.glob("*")) - before}
-    assert not left & {"sketch", "reps", "probe"} and {"members", "runs", "likely"} <= left
+    assert not left & {"sketch", "reps", "probe", "runs"} and {"members", "likely", "links"} <= left
 
 
 def test_no_documents_no_pairs(spark):
