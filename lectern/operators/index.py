@@ -4,24 +4,29 @@ Passages are (pid, domain, source, title, text, page).  Passages of null or empt
 the number of passages and the mean length with length 0.  Repeated pids are one passage (the
 least text).  The posting cap is a parameter; without one every posting is kept.
 
-``postings`` reads passages once, pre-aggregates per task and shuffles (pid, term) rows;
-terms are joined by value, so a hot term is split by adaptive skew handling like any hot key."""
+What is stored is the list of terms of each passage, made in one pass without a shuffle; only document frequencies
+(one row per term and task) are shuffled.  ``postings`` is a view: the lists joined with the weights of terms by value, so a hot term
+is split by adaptive skew handling like any hot key.  Postings under a cap are stored as such."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import lexicons as lex
 from lectern.functions.text import content_terms, tokens
-from lectern.session import materialize
+from lectern.session import discard, freeing, materialize
 
 
 #: Changes with what a build does, so that older snapshots are not read.
-VERSION = 1
+VERSION = 2
+_COLUMNS = ("pid", "domain", "source", "title", "text", "page")
 
 
 def capped_passages(passages: DataFrame, most: int) -> DataFrame:
@@ -61,50 +66,96 @@ def capped_postings(postings: DataFrame, most: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """Tables of one build: passages, postings (term, pid, tf, dl, w), idf (term, df, idf), n and avgdl."""
+    """Tables of one build: passages, lists (pid, domain, dl, terms, tfs), idf (term, df, idf), n and avgdl; under a cap the postings that are left."""
 
     passages: DataFrame
-    postings: DataFrame
+    lists: DataFrame
     idf: DataFrame
     n: int
     avgdl: float
+    capped: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, pid, tf, dl, w)."""
+        return self.postings_of(self.idf).select("term", "pid", "tf", "dl", "w")
+
+    def postings_of(self, weights: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+        """(term, pid, tf, dl, w, domain) of the terms of ``weights`` (term, idf), of some of the lists if given."""
+        lists = self.lists if lists is None else lists
+        if self.capped is not None:
+            return self.capped.join(weights.select("term"), "term", "left_semi").join(lists.select("pid", "domain"), "pid").select("term", "pid", "tf", "dl", "w", "domain")
+        rows = lists.select("pid", "domain", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("pid", "domain", "dl", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+        return rows.join(weights.select("term", "idf"), "term").select("term", "pid", "tf", "dl", bm25(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(float(self.avgdl))).alias("w"), "domain")
 
     def domains(self) -> DataFrame:
         return self.passages.groupBy("domain").agg(F.count("*").alias("n_passages"))
 
 
 def _one_per_pid(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("pid").agg(F.min_by(F.struct("domain", "source", "title", "text", "page"), F.coalesce("text", F.lit(""))).alias("r")).select("pid", "r.*")
+    return rows.groupBy("pid").agg(F.min_by(F.struct(*_COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("r")).select("pid", "r.*")
+
+
+def _distinct(passages: DataFrame, store: Callable) -> DataFrame:
+    """Stored passages of distinct pids; texts are shuffled only where a pid comes twice."""
+    passages = passages.select(*_COLUMNS)
+    if passages.groupBy("pid").count().where("count > 1").isEmpty():
+        return store(passages, "passages")
+    return store(_one_per_pid(passages), "passages")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pid, domain, terms) with the terms of each passage once and how often it has them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 10_000):
+            b = whole.slice(at, 10_000)
+            n, lists = b.num_rows, b.column(2)
+            dl = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = lists.flatten().dictionary_encode()
+            key, tf = np.unique(np.repeat(np.arange(n), dl) * max(1, len(names.dictionary)) + names.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, code = np.divmod(key, max(1, len(names.dictionary)))
+            ends = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dl), pa.ListArray.from_arrays(ends, names.dictionary.take(pa.array(code))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], ["pid", "domain", "dl", "terms", "tfs"])
+
+
+def term_lists(passages: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """(pid, domain, dl, terms, tfs): the terms of each passage and how often it has them, in one pass without a shuffle."""
+    rows = passages.where("pid is not null").select("pid", "domain", content_terms(tokens("text"), stopwords).alias("terms"))
+    return rows.mapInArrow(_counted, f"pid {rows.schema['pid'].dataType.simpleString()}, domain string, dl long, terms array<string>, tfs array<long>")
 
 
-def _weighted(rows: DataFrame, tf: DataFrame, most: int | None = None) -> Index:
-    """The index of passages and their term frequencies: everything that depends on the whole collection."""
-    dl = materialize(lengths(rows, tf), "dl")
-    size = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+def _weighted(rows: DataFrame, lists: DataFrame, store: Callable, most: int | None = None) -> Index:
+    """The index of passages and their lists: everything that depends on the whole collection."""
+    size = lists.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = max(1, size["n"]), size["avgdl"] or 1.0
-    df = document_frequencies(tf)
-    terms = materialize(df.select("term", "df", idf(F.lit(float(n)), F.col("df")).alias("idf")), "idf")
-    postings = tf.join(dl, "pid").join(terms, "term").select("term", "pid", "tf", "dl", bm25(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(float(avgdl))).alias("w"))
+    df = document_frequencies(lists.select(F.explode("terms").alias("term")))
+    terms = store(df.select("term", "df", idf(F.lit(float(n)), F.col("df")).alias("idf")), "idf")
+    out = Index(rows, lists, terms, n, avgdl)
     if most is not None:
-        postings = capped_postings(postings, most)
-    return Index(rows, materialize(postings, "postings"), terms, n, avgdl)
+        out.capped = store(capped_postings(out.postings, most), "capped")
+    return out
 
 
-def build(passages: DataFrame, tier: str | None = None, stopwords: list[str] | None = None) -> Index:
-    """All tables, each written once.  ``tier`` sets the caps on passages and postings; None sets none."""
+def _table(df: DataFrame, name: str) -> DataFrame:
+    return materialize(df, name, free=True)
+
+
+def build(passages: DataFrame, tier: str | None = None, stopwords: list[str] | None = None, store: Callable[[DataFrame, str], DataFrame] = _table) -> Index:
+    """All tables, each written once, by ``store``.  ``tier`` sets the caps on passages and postings; None sets none."""
     caps = lex.TIERS[tier] if tier else (None, None)
-    rows = materialize(_one_per_pid(capped_passages(passages, caps[0]) if tier else passages), "passages")
-    return _weighted(rows, materialize(term_frequencies(rows, stopwords=stopwords), "tf"), caps[1])
+    rows = _distinct(capped_passages(passages, caps[0]) if tier else passages, store)
+    return _weighted(rows, store(term_lists(rows, stopwords), "lists"), store, caps[1])
 
 
 def updated(index: Index, fresh: DataFrame, removed: DataFrame | None = None, stopwords: list[str] | None = None) -> Index:
     """The index after passages came, changed (a pid that is indexed already) or went (``removed``: pid): the same as a new build over
-    what is left.  Only the texts of ``fresh`` are read; frequencies of the others come from their postings, so the index must have no cap."""
-    fresh = materialize(_one_per_pid(fresh.select("pid", "domain", "source", "title", "text", "page").where("pid is not null")), "fresh")
+    what is left.  Only the texts of ``fresh`` are read; the others keep their lists, so the index must have no cap."""
+    fresh = materialize(_one_per_pid(fresh.select(*_COLUMNS).where("pid is not null")), "fresh", free=True)
     gone = fresh.select("pid") if removed is None else fresh.select("pid").union(removed.select("pid")).distinct()
-    rows = materialize(index.passages.join(gone, "pid", "left_anti").select(*fresh.columns).union(fresh), "passages")
-    kept = index.postings.select("pid", "term", "tf").join(gone, "pid", "left_anti")
-    return _weighted(rows, materialize(kept.union(term_frequencies(fresh, stopwords=stopwords)), "tf"))
+    rows = _table(index.passages.join(gone, "pid", "left_anti").select(*fresh.columns).union(fresh), "passages")
+    lists = _table(index.lists.join(gone, "pid", "left_anti").select(*index.lists.columns).union(term_lists(fresh, stopwords)), "lists")
+    discard(fresh)
+    return _weighted(rows, lists, _table)
 
 
 def files_signature(files: DataFrame) -> str:
@@ -127,7 +178,7 @@ def cached(passages: DataFrame, path: str, tier: str | None = None, of: DataFram
     place = f"{path}/{mark[:24]}-{tier or 'all'}"
     spark = passages.sparkSession
     if (found := load(spark, place, VERSION, tier, mark)) is None:
-        save(build(passages, tier), place, VERSION, tier, mark)
+        _manifest(build(passages, tier, store=lambda df, name: _put(df, place, name)), place, VERSION, tier, mark)
         found = load(spark, place, VERSION, tier, mark)
     return found
 
@@ -137,12 +188,22 @@ def stats(index: Index) -> DataFrame:
     return passages.crossJoin(F.broadcast(index.idf.agg(F.count("*").alias("terms"))))
 
 
+def _put(df: DataFrame, path: str, name: str) -> DataFrame:
+    with freeing(df.sparkSession):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def _manifest(index: Index, path: str, version: int, tier: str | None, signature: str) -> None:
+    spark = index.passages.sparkSession
+    spark.createDataFrame([(version, tier, signature, index.n, float(index.avgdl), index.capped is not None)], "version int, tier string, signature string, n long, avgdl double, capped boolean").write.mode("overwrite").parquet(f"{path}/manifest")
+
+
 def save(index: Index, path: str, version: int, tier: str | None, signature: str) -> None:
     """A snapshot: the tables and a manifest row that says what they were built from."""
-    spark = index.passages.sparkSession
-    for name in ("passages", "postings", "idf"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(version, tier, signature, index.n, float(index.avgdl))], "version int, tier string, signature string, n long, avgdl double").write.mode("overwrite").parquet(f"{path}/manifest")
+    for name in ("passages", "lists", "idf", *["capped"] * (index.capped is not None)):
+        _put(getattr(index, name), path, name)
+    _manifest(index, path, version, tier, signature)
 
 
 def load(spark, path: str, version: int, tier: str | None, signature: str) -> Index | None:
@@ -155,4 +216,4 @@ def load(spark, path: str, version: int, tier: str | None, signature: str) -> In
         raise
     if m is None or (m["version"], m["tier"], m["signature"]) != (version, tier, signature):
         return None
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("passages", "postings", "idf")), m["n"], m["avgdl"])
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("passages", "lists", "idf")), m["n"], m["avgdl"], spark.read.parquet(f"{path}/capped") if m["capped"] else None)

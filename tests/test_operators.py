@@ -365,3 +365,38 @@ def test_stream_windows(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").count() == windows.tumbling(events).count()
+
+
+def _shuffled(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_pair_of_query_and_passage_is_shuffled(spark, monkeypatch):
+    rows = [(i, f"d{i % 3}", "s", "t", f"agua tierra fuego raro{i % 50}", None) for i in range(2000)]
+    before = _shuffled(spark)
+    idx = index.build(_stored(spark, rows))
+    idx.idf.count()
+    assert _shuffled(spark) - before < 4000  # pids and terms of tasks, not the 8,000 postings
+    terms = retrieval.query_terms(spark.createDataFrame([(q, f"agua tierra raro{q}") for q in range(100)], "qid long, text string")).localCheckpoint()
+    monkeypatch.setattr(retrieval, "WORTH", 100_000)  # there are 404,000 pairs
+    for result, n in ((retrieval.search(terms, idx, 3), 300), (retrieval.classify_domains(terms, idx), 100), (retrieval.scores(terms, idx), 200_000)):
+        before = _shuffled(spark)
+        assert result.count() == n and _shuffled(spark) - before < 10_000
+
+
+def test_scores_of_passages_are_those_of_joins(spark, monkeypatch):
+    rows = [(f"p{i:03}", [None, "a", "b"][i % 3], "s", "t", f"agua {'tierra ' * (i % 4)} {'fuego' if i % 7 else ''} comun", None) for i in range(90)] + [("p900", "a", "s", "t", None, None), ("p005", "a", "s", "t", "a", None)]
+    idx = index.build(spark.createDataFrame(rows, "pid string, domain string, source string, title string, text string, page int"))
+    terms = retrieval.query_terms(spark.createDataFrame([("x", "agua fuego fuego"), ("y", "tierra comun"), ("z", "comun"), ("n", None), ("o", "nada")], "qid string, text string"))
+    for name, value in (("ROUND", 3), ("BLOCK", 16), ("BATCH", 5)):
+        monkeypatch.setattr(retrieval, name, value)
+    for exclude in (None, ["a"]):
+        got = []
+        for worth in (0, 10**9):
+            monkeypatch.setattr(retrieval, "WORTH", worth)
+            got.append([sorted(map(tuple, x.collect())) for x in (retrieval.scores(terms, idx, None, exclude), retrieval.search(terms, idx, 4, exclude))])
+        assert got[0] == got[1] and len(got[0][1]) == 12
